@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, secrets
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.op1_mixing}
+    return {"op1_mixing": mixing.op1_mixing, "op10_secrets": secrets.op10_secrets}
 
 
 def oracle_sql() -> dict:
