@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import mixing, privacy, secrets
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.op1_mixing, "op10_secrets": secrets.op10_secrets}
+    return {"op1_mixing": mixing.op1_mixing, "op6_privacy": privacy.op6_privacy, "op10_secrets": secrets.op10_secrets}
 
 
 def oracle_sql() -> dict:
