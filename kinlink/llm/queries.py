@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, privacy, quality, secrets
+from . import language, mixing, privacy, quality, secrets
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.op1_mixing, "op5_quality": quality.op5_quality, "op6_privacy": privacy.op6_privacy, "op10_secrets": secrets.op10_secrets}
+    return {"op1_mixing": mixing.op1_mixing, "op3_language": language.op3_language, "op5_quality": quality.op5_quality, "op6_privacy": privacy.op6_privacy, "op10_secrets": secrets.op10_secrets}
 
 
 def oracle_sql() -> dict:
