@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 
 U = np.uint64
@@ -62,7 +63,7 @@ def chunks(batches: Iterator, columns: list[str], size: int = 4 << 20) -> Iterat
     for batch in batches:
         cols = {c: batch.column(batch.schema.get_field_index(c)) for c in columns}
         n, at = batch.num_rows, 0
-        lens = np.asarray(cols[columns[-1]].fill_null("").cast("binary").to_pandas().str.len(), dtype=np.int64) if n else np.zeros(0)
+        lens = np.asarray(pc.binary_length(cols[columns[-1]]).fill_null(0), dtype=np.int64)
         while at < n:
             run = np.cumsum(lens[at:])
             to = at + max(1, int(np.searchsorted(run, size, side="right")))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, mixing, privacy, quality, secrets, warc
+from . import language, mixing, passages, privacy, quality, secrets, warc
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.op1_mixing, "op3_language": language.op3_language, "op5_quality": quality.op5_quality, "op6_privacy": privacy.op6_privacy, "op9_warc": warc.op9_warc, "op10_secrets": secrets.op10_secrets}
+    return {"op1_mixing": mixing.op1_mixing, "op3_language": language.op3_language, "op5_quality": quality.op5_quality, "op6_privacy": privacy.op6_privacy, "op8_passages": passages.op8_passages, "op9_warc": warc.op9_warc, "op10_secrets": secrets.op10_secrets}
 
 
 def oracle_sql() -> dict:
-    return {"op1_mixing": mixing.OP1_SQL, "op9_warc": warc.OP9_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op8_passages": passages.OP8_SQL, "op9_warc": warc.OP9_SQL}
