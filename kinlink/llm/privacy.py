@@ -98,8 +98,8 @@ def disclosed(docs: DataFrame, text: str = "text", near: int = NEAR, alpha: floa
     nte = near_w.select(F.explode(pairs).alias("p")).groupBy("p.term", "p.entity").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
     nte = stored(nte.join(ne, "entity"), "pii-pairs")
     terms = docs.select(F.explode(F.array_distinct(F.split(F.lower(body), r"[^\p{L}\p{N}]+"))).alias("term")).filter(F.length("term") >= 4)
-    wanted = nte.select("term").distinct()
-    nt = terms.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted before the join: the shuffle carries a row per task and term, however many terms are asked for
+    nt = terms.groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.count()
     ic = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     pmi = F.log2(F.col("n_te") * F.lit(float(max(total, 1))) / (F.col("n_t") * F.col("n_e")))
