@@ -10,8 +10,8 @@ below ``miss``. Survivors are verified on their full sets.
 No group is ever expanded into its pairs. (1) Every member of a bucket meets the bucket's smallest
 member; links found join components. (2) Only buckets that still hold several components go on:
 members outside the bucket's largest component meet all others of other components, in blocks of
-at most ``block`` members, so that a hot bucket is dealt over many tasks; of each member and foreign
-component first only the best estimate is verified, then, components joined again, every survivor.
+at most ``block`` members, so that a hot bucket is dealt over many tasks. A block verifies its
+survivors on the full sets it holds and returns links alone, never pairs.
 No partner or candidate is capped. What is left open is the banding's and the pruning's own
 probability of a miss.
 
@@ -145,15 +145,16 @@ def _sets(docs: DataFrame, store: Store) -> DataFrame:
             want |= np.asarray(batch.column(0).is_null())
             picked = pa.Table.from_batches([batch]).filter(pa.array(want)).to_batches()
             for rows in chunks(picked, ["doc_id", "text"]):
-                nodes, sets = [], []
+                nodes, sets, sigs = [], [], []
                 for i, text in zip(rows["doc_id"], rows["text"], strict=True):
                     s = shingles(text.lower().split() if text else [], hasher)
                     if len(s):
                         nodes.append(_node(_class(s)[0]) if i is None else i)
                         sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+                        sigs.append(signature(s).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], ["node", "set", "sig"])
 
-    return docs.mapInArrow(pick, "node bigint, set binary")
+    return docs.mapInArrow(pick, "node bigint, set binary, sig binary")
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, limits: list[int]) -> DataFrame:
@@ -171,27 +172,33 @@ def _likely(pairs: DataFrame, sigs: DataFrame, limits: list[int]) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(test, "a bigint, b bigint")
 
 
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted distinct hashes."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    at = np.searchsorted(q, p)
+    both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
 
     def test(batches: Iterator) -> Iterator:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, U), np.frombuffer(y, U)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            keep = [linked(np.frombuffer(x, U), np.frombuffer(y, U), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(test, "a bigint, b bigint")
 
 
-def _foreign_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, limits: list[int], block: int, best: bool) -> DataFrame:
-    """Surviving pairs of different components that share a bucket, each from its first common band."""
+def _foreign_links(members: DataFrame, labels: DataFrame, sets: DataFrame, limits: list[int], percent: int, block: int) -> DataFrame:
+    """Links between different components that share a bucket, each pair tested in its first common band.
+
+    A unit compares its pairs by signature, verifies survivors on their sets, likeliest first, and
+    skips pairs whose components a link of the same unit has joined by then. It returns links only:
+    fewer than it has members, however many pairs it had to verify."""
     lab = members.join(labels, "node", "left").select("bk", "band", "node", F.coalesce("comp", "node").alias("comp"))
     lab = stored(lab, "near-members")
     sides = lab.groupBy("bk", "comp").agg(F.count("*").alias("n"))
@@ -209,15 +216,23 @@ def _foreign_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, limit
         ),
     ).otherwise(F.transform(span(F.col("cr")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
     dealt = at.withColumn("own", own).select("bk", "band", "node", "comp", "r", "own", F.explode(units).alias("u")).select("bk", "band", "node", "comp", "r", "own", "u.i", "u.j")
-    rows = dealt.join(sigs, "node").select("bk", "i", "j", "band", "node", "comp", "r", "own", "sig")
+    rows = dealt.join(sets, "node").select("bk", "i", "j", "band", "node", "comp", "r", "own", "sig", "set")
     rows = rows.repartition("bk", "i", "j").sortWithinPartitions("bk", "i", "j", "node")
 
     def unit(f: pd.DataFrame, out: list) -> None:
         sigs_ = np.frombuffer(b"".join(f["sig"]), "<u4").reshape(len(f), HASHES)
+        full = [np.frombuffer(x, U) for x in f["set"]]
         node, comp, r, own_ = (f[c].to_numpy() for c in ("node", "comp", "r", "own"))
         i, j, band = int(f["i"].iloc[0]), int(f["j"].iloc[0]), int(f["band"].iloc[0])
         left = np.flatnonzero(r & (own_ == i))
         right = np.flatnonzero(~r) if j >= 0 else np.flatnonzero(r & (own_ == -1 - j))
+        up: dict = {}
+
+        def root(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
         step = max(1, 100_000 // max(1, len(right)))
         for k in range(0, len(left), step):
             p, q = (x.ravel() for x in np.meshgrid(left[k : k + step], right, indexing="ij"))
@@ -230,14 +245,11 @@ def _foreign_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, limit
             shared = (sigs_[p] == sigs_[q]).reshape(-1, BANDS, ROWS).all(2)
             first = shared.argmax(1) == band
             p, q, same = p[first], q[first], same[first]
-            if best and len(p):
-                order = np.lexsort((-same, comp[q], node[p]))
-                p, q = p[order], q[order]
-                new = np.ones(len(p), bool)
-                new[1:] = (node[p][1:] != node[p][:-1]) | (comp[q][1:] != comp[q][:-1])
-                p, q = p[new], q[new]
-            if len(p):
-                out.append((np.minimum(node[p], node[q]), np.maximum(node[p], node[q])))
+            for x in np.argsort(-same, kind="stable"):
+                a, b = root(int(comp[p[x]])), root(int(comp[q[x]]))
+                if a != b and linked(full[p[x]], full[q[x]], percent):
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(node[p[x]]), int(node[q[x]])))
 
     def compare(batches: Iterator) -> Iterator:
         held = None
@@ -259,10 +271,10 @@ def _foreign_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, limit
 
     def told(out: list) -> Iterator:
         if out:
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -280,22 +292,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     candidates = stored(members.select("node").distinct(), "near-candidates")
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = stored(_sets(docs.select("doc_id", "text"), _id_store(candidates, scratch(spark, "near-ids"), shards)), "near-sets")
-    sigs = stored(classes.join(candidates, "node", "left_semi").select("node", "sig"), "near-sigs")
+    sigs = sets.select("node", "sig")
 
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(_verified(_likely(stars, sigs, limits), sets, percent), "near-links")
     labels = components(links)
-    members = members.select("bk", "band", "node")
-    for best in (True, False):
-        pairs = _foreign_pairs(members, labels, sigs, limits, block, best)
-        more = stored(_verified(pairs, sets, percent), "near-links")
-        comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}c"))  # noqa: E731, B023
-        crossing = more.join(comp("a"), "a", "left").join(comp("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
-        joined = components(crossing)
-        # a node without a link so far is its own component
-        old = labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
-        single = joined.join(labels.select("node"), "node", "left_anti")
-        labels = stored(old.unionByName(single), "near-labels")
+    more = stored(_foreign_links(members.select("bk", "band", "node"), labels, sets, limits, percent, block), "near-links")
+    comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}c"))
+    crossing = more.join(comp("a"), "a", "left").join(comp("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+    joined = components(crossing)
+    # a node without a link so far is its own component
+    old = labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    single = joined.join(labels.select("node"), "node", "left_anti")
+    labels = stored(old.unionByName(single), "near-labels")
 
     named = classes.select("k1", "k2", "node", "n").join(labels, "node", "left")
     named = stored(named.filter("n > 1 OR comp IS NOT NULL").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("comp", "node").alias("comp")), "near-named")
