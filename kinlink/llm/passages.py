@@ -93,11 +93,11 @@ def _unpack(b: bytes) -> np.ndarray:
 class Sketch:
     """Read side of the merged sketch."""
 
-    def __init__(self, uri: str, bits: int):
-        self.uri, self.bits, self.open = uri, bits, {}
+    def __init__(self, uri: str, bits: int, block: int = BLOCK):
+        self.uri, self.bits, self.block, self.open = uri, bits, min(block, bits), {}
 
     def __reduce__(self):
-        return Sketch, (self.uri, self.bits)
+        return Sketch, (self.uri, self.bits, self.block)
 
     def repeated(self, h: np.ndarray) -> np.ndarray:
         """For sorted hashes: whether both counts reach two."""
@@ -109,7 +109,7 @@ class Sketch:
         return hit
 
     def _row(self, cells: np.ndarray, row: int) -> np.ndarray:
-        block = min(BLOCK, self.bits)
+        block = self.block
         ends = np.searchsorted(cells >> U(block), np.arange((1 << (self.bits - block)) + 1, dtype=U))
         out = np.zeros(len(cells), bool)
         for i in np.flatnonzero(np.diff(ends)):
@@ -121,8 +121,7 @@ class Sketch:
         return out
 
 
-def _sketch(docs: DataFrame, text: str, width: int, bits: int, uri: str) -> None:
-    block = min(BLOCK, bits)
+def _sketch(docs: DataFrame, text: str, width: int, bits: int, uri: str, block: int) -> None:
 
     def count(batches: Iterator) -> Iterator:
         windows = Windows(width)
@@ -232,16 +231,17 @@ def _known(store: Store, h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return out
 
 
-def without_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """``docs`` with ``text`` reduced to the words no repeated window covers, joined by one space,
-    and with ``n_words`` and ``n_removed``. Windows are judged on the input."""
+    and with ``n_words`` and ``n_removed`` (columns of these names are replaced). Windows are judged on the
+    input. ``block``: cells of a block of the sketch, as a power of two."""
     spark = docs.sparkSession
     uri = scratch(spark, "passages")
     size = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
     bits = max(16, int(size // 6 * 2).bit_length())
-    _sketch(docs, text, width, bits, f"{uri}/sketch")
+    sketch = Sketch(f"{uri}/sketch", bits, block)
+    _sketch(docs, text, width, bits, sketch.uri, sketch.block)
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sketch = Sketch(f"{uri}/sketch", bits)
     store = _exact(docs, text, width, sketch, f"{uri}/repeated", shards)
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     plain = docs.select(*[(F.col(f"`{c}`").cast("binary") if c == text else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(keep)])
