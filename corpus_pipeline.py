@@ -34,7 +34,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; the documents stay."""
     clean = secrets.without_secrets(docs, scratch(spark, "secret-ledger"))
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast("bigint"))
+    return clean.select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
