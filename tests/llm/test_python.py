@@ -164,6 +164,19 @@ def test_decontamination(spark):
     assert left == set(range(120)) - {i for i, _ in want}
 
 
+def test_short_items_amid_unique_words(spark):
+    """Verbatim copies between words seen once in a large corpus are found, whatever these weigh."""
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(150)]
+    items = [(i, " ".join(r.sample(common, r.choice((15, 27, 40))))) for i in range(20)]
+    rows = [(i, " ".join(r.choice(common) for _ in range(40)), "en", "a") for i in range(3000)]
+    for i, text in items:
+        rows.append((10_000 + i, " ".join([f"u{i}x{j}" for j in range(60)] + [text] + [f"u{i}y{j}" for j in range(60)]), "en", "a"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(documents(spark, rows), bench).collect()}
+    assert {(10_000 + i, i) for i, _ in items} <= got and not {d for d, _ in got if d < 10_000}
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, PASSAGE), (2, None), (3, " ")], "item_id bigint, text string")
     assert sorted(tuple(x)[:2] for x in decontam.contaminated(documents(spark), bench).collect()) == [(8, 1), (9, 1)]
