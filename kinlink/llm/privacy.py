@@ -4,7 +4,9 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers. Each found
 protected entity e. A term t (a word near the entity) discloses it if
 PMI(e; t) >= alpha * IC(e), with IC(e) = log2(D / n(e)) and PMI(e; t) = log2(n(t, e) * D / (n(t) * n(e))),
 all counted in documents over the whole corpus (D documents, n(t) with the term anywhere,
-n(t, e) with the term near the entity). Disclosing terms become spans of kind ``term``; the
+n(t, e) with the term near the entity). Every pair is judged, also one that stands in a single
+document: there the rule asks for n(t) <= D ** (1 - alpha), so a rare word discloses and a common
+one doesn't. Disclosing terms become spans of kind ``term``; the
 sanitised text generalises every span to its kind.
 
 Defined results: null and empty texts have no spans; copies of a text count as documents of their
@@ -27,7 +29,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-NEAR, ALPHA, SUPPORT = 48, 0.8, 2
+NEAR, ALPHA = 48, 0.8
 _P = "__pii_"
 
 
@@ -81,7 +83,7 @@ def _near_words(text: Column, spans: Column, near: int) -> Column:
     return F.when(F.size(spans) > 0, bound(tokens, of)).otherwise(F.array().cast("array<struct<term:string,start:bigint,end:bigint,entity:string>>"))
 
 
-def disclosed(docs: DataFrame, text: str = "text", near: int = NEAR, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def disclosed(docs: DataFrame, text: str = "text", near: int = NEAR, alpha: float = ALPHA) -> DataFrame:
     """``docs`` with ``pii_spans``: pattern spans by kind and start, then disclosing terms by start.
 
     Rows are recognised by the SHA-256 of their text, on which alone spans depend. Only documents
@@ -95,7 +97,7 @@ def disclosed(docs: DataFrame, text: str = "text", near: int = NEAR, alpha: floa
     # documents of an entity, and documents with a term near it
     ne = near_w.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = F.array_distinct(F.transform("near", lambda w: F.struct(w["term"].alias("term"), w["entity"].alias("entity"))))
-    nte = near_w.select(F.explode(pairs).alias("p")).groupBy("p.term", "p.entity").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
+    nte = near_w.select(F.explode(pairs).alias("p")).groupBy("p.term", "p.entity").agg(F.count("*").alias("n_te"))
     nte = stored(nte.join(ne, "entity"), "pii-pairs")
     terms = docs.select(F.explode(F.array_distinct(F.split(F.lower(body), r"[^\p{L}\p{N}]+"))).alias("term")).filter(F.length("term") >= 4)
     # counted before the join: the shuffle carries a row per task and term, however many terms are asked for

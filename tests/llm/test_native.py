@@ -99,6 +99,13 @@ def test_disclosing_terms(spark):
     assert "zebulon7q" not in clean[0] and "[EMAIL]" in clean[0] and clean[105] == rows[35][1]
 
 
+def test_entities_of_one_document_are_judged(spark):
+    rows = [(i, "the common thing again contact", "en", "a") for i in range(100)]
+    rows.append((200, "contact zebulon7q at secret@mail.example again", "en", "a"))
+    got = {r["doc_id"]: {x["value"] for x in r["pii_spans"] if x["kind"] == 4} for r in privacy.disclosed(documents(spark, rows)).collect()}
+    assert "zebulon7q" in got[200] and not got[200] & {"contact", "again"} and not got[5]
+
+
 def test_privacy_edges(spark):
     assert privacy.disclosed(documents(spark, [])).count() == 0
     out = privacy.disclosed(clashing(spark))
