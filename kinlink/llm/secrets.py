@@ -22,10 +22,16 @@ KINDS = ["assign", "access", "hex", "pem", "jwt"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+#: A private key to its END line; without one over its headers and the run of base64 lines. The body is possessive: linear time.
+_BREAK = r"(?:\s|\\[rn])"
+PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:(?:{_BREAK}*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:{_BREAK}++[A-Za-z0-9+/]++(?:={{1,2}}+|(?![^\r\n])))?+)?+)"
+)
 JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 #: Changes whenever a rule changes; blobs are scanned again for a new version.
-RULES = "2026-11"
+RULES = "2026-11.2"
 
 LEDGER = f"blob string, rules string, spans {SPAN}"
 _S = "__secret_"

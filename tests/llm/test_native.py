@@ -142,6 +142,20 @@ def test_ledger_scans_only_the_unseen(spark, tmp_path):
     assert clean == ["[ASSIGN]"]
 
 
+def test_private_keys_go_with_their_body(spark, tmp_path):
+    begin, end, lines = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", ["MIIEow" + "aB3+/x" * 9 + f"{i:04}" for i in range(400)]
+    body = "\n".join([*lines, "Zm9vYg=="])
+    texts = [
+        f"before {begin}\n{body}\n{end}\nafter", f"before {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n{end} after", f"before {begin}\n{body}\nafter the key",
+        'before "' + begin + "\\n" + body.replace("\n", "\\n") + "\\n" + end + '" after', f"before {begin}\r\n{lines[0]}\r\nQUJD\r\nafter the key", f"before {begin} after",
+    ]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["text"] for r in secrets.without_secrets(documents(spark, rows), str(tmp_path / "ledger")).collect()}
+    assert [got[i] for i in range(6)] == [
+        "before [PEM]\nafter", "before [PEM] after", "before [PEM]\nafter the key", 'before "[PEM]" after', "before [PEM]\r\nafter the key", "before [PEM] after",
+    ]
+
+
 def test_secret_edges(spark, tmp_path):
     assert secrets.scanned(documents(spark, []), str(tmp_path / "a")).count() == 0
     out = secrets.scanned(clashing(spark), str(tmp_path / "b"))
