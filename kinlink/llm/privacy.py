@@ -1,16 +1,21 @@
 """Personal data: patterns, and terms that reveal them by corpus co-occurrence; DataFrame functions only.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Each found value is a
-protected entity e. A term t (a word near the entity) discloses it if
+protected entity e. A term t (a word with a letter, without case) of a document that holds e discloses it if
 PMI(e; t) >= alpha * IC(e), with IC(e) = log2(D / n(e)) and PMI(e; t) = log2(n(t, e) * D / (n(t) * n(e))),
-all counted in documents over the whole corpus (D documents, n(t) with the term anywhere,
-n(t, e) with the term near the entity). Every pair is judged, also one that stands in a single
+all counted in documents over the whole corpus (D documents, n(t) with the term, n(t, e) with both,
+wherever they stand). Every pair is judged, also one that stands in a single
 document: there the rule asks for n(t) <= D ** (1 - alpha), so a rare word discloses and a common
-one doesn't. Disclosing terms become spans of kind ``term``; the
-sanitised text generalises every span to its kind.
+one doesn't. All occurrences of a disclosing term in the documents of its entity become spans of kind
+``term``, except those that touch a pattern span; the sanitised text generalises every span to its kind.
+
+Two exact short cuts keep the pairs few. Entities of the same set of documents have the same terms
+and are judged as one class (two 64-bit hashes of the set name it). And since n(t, e) <= n(e), a term
+of more than n(e) ** alpha * D ** (1 - alpha) documents can't disclose e and meets no class.
 
 Defined results: null and empty texts have no spans; copies of a text count as documents of their
-own; an empty table gives an empty result; extra columns pass through whatever their names.
+own; very long texts are read whole, in one row of one task; an empty table gives an empty result;
+extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +32,11 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: A run of digits (never empty here) of a value up to 255, leading zeros allowed.
+BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
+TERM = r"[\p{L}\p{N}]+"
 
-NEAR, ALPHA = 48, 0.8
+ALPHA = 0.8
 _P = "__pii_"
 
 
@@ -60,57 +67,57 @@ def patterns(text: Column) -> Column:
     )
 
 
-def _near_words(text: Column, spans: Column, near: int) -> Column:
-    """Words of at least 4 characters with a letter that stand within ``near`` characters of a span
-    and don't touch any: (term, start, end, entity), the term without case and outer punctuation."""
-    tokens = found(text, 4, r"[\p{L}\p{N}]+", lambda m: (F.length(m) >= 4) & m.rlike(r"\p{L}"))
+def _named(body: Column) -> Column:
+    """128 bits of SHA-256 name a text."""
+    return F.substring(F.unhex(F.sha2(body, 256)), 1, 16)
 
-    def of(all_words):
-        free = F.filter(all_words, lambda w: ~F.exists(spans, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
-        return bound(
-            free,
-            lambda ws: F.flatten(
-                F.transform(
-                    spans,
-                    lambda s: F.transform(
-                        F.filter(ws, lambda w: (w["end"] >= s["start"] - near) & (w["start"] <= s["end"] + near)),
-                        lambda w: F.struct(F.lower(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end"), F.lower(s["value"]).alias("entity")),
-                    ),
-                )
-            ),
-        )
 
-    return F.when(F.size(spans) > 0, bound(tokens, of)).otherwise(F.array().cast("array<struct<term:string,start:bigint,end:bigint,entity:string>>"))
+def _terms(body: Column) -> Column:
+    """Distinct terms of a text."""
+    return F.filter(F.array_distinct(F.split(F.lower(body), r"[^\p{L}\p{N}]+")), lambda t: t.rlike(r"\p{L}"))
 
 
-def disclosed(docs: DataFrame, text: str = "text", near: int = NEAR, alpha: float = ALPHA) -> DataFrame:
+def disclosed(docs: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """``docs`` with ``pii_spans``: pattern spans by kind and start, then disclosing terms by start.
 
-    Rows are recognised by the SHA-256 of their text, on which alone spans depend. Only documents
-    with a pattern span carry words on; the count of a term over the corpus is a partial count per
-    task, then one row per term."""
+    Spans depend on the text alone, so texts with a pattern span are kept once, with their number of
+    rows. The count of a term over the corpus is a partial count per task, then one row per term."""
     body = F.coalesce(F.col(text), F.lit(""))
     keep = [F.col(f"`{c}`") for c in docs.columns if c != "pii_spans"]
-    first = docs.select(*keep, F.sha2(body, 256).alias(f"{_P}blob"), body.alias(f"{_P}text")).withColumn(f"{_P}base", patterns(F.col(f"{_P}text")))
-    holders = first.filter(F.size(f"{_P}base") > 0).select(F.col(f"{_P}blob").alias("blob"), F.col(f"{_P}text").alias("text"), F.col(f"{_P}base").alias("base"))
-    near_w = stored(holders.select("blob", "base", _near_words(F.col("text"), F.col("base"), near).alias("near")), "pii-near")
-    # documents of an entity, and documents with a term near it
-    ne = near_w.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = F.array_distinct(F.transform("near", lambda w: F.struct(w["term"].alias("term"), w["entity"].alias("entity"))))
-    nte = near_w.select(F.explode(pairs).alias("p")).groupBy("p.term", "p.entity").agg(F.count("*").alias("n_te"))
-    nte = stored(nte.join(ne, "entity"), "pii-pairs")
-    terms = docs.select(F.explode(F.array_distinct(F.split(F.lower(body), r"[^\p{L}\p{N}]+"))).alias("term")).filter(F.length("term") >= 4)
+    found_ = docs.select(body.alias("text")).withColumn("base", patterns(F.col("text"))).filter(F.size("base") > 0)
+    holders = found_.groupBy(_named(F.col("text")).alias("blob")).agg(F.count("*").alias("m"), F.first("text").alias("text"), F.first("base").alias("base"))
+    holders = stored(holders, "pii-holders")
+    total = float(max(docs.count(), 1))
+
+    # entities, by class: the same documents, the same terms
+    own = holders.select("blob", "m", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
+    sets = own.groupBy("entity").agg(F.sum("m").alias("n_e"), F.bit_xor(F.xxhash64("blob")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "blob")).alias("y"))
+    classes = stored(own.join(sets, "entity").select("blob", "m", "n_e", "x", "y").distinct(), "pii-classes")
+    most = F.pow(F.col("n_e").cast("double"), F.lit(alpha)) * total ** (1 - alpha) * (1 + 1e-9)
+    wide = classes.groupBy("blob").agg(F.max(most).alias("most"))
+
     # counted before the join: the shuffle carries a row per task and term, however many terms are asked for
-    nt = terms.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.count()
-    ic = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    pmi = F.log2(F.col("n_te") * F.lit(float(max(total, 1))) / (F.col("n_t") * F.col("n_e")))
-    telling = nte.join(nt, "term").filter(pmi >= ic * alpha).select("term", "entity")
-    uses = near_w.groupBy("blob").agg(F.first("near").alias("near")).select("blob", F.explode("near").alias("w")).select("blob", "w.term", "w.entity", "w.start", "w.end")
-    spans = uses.join(telling, ["term", "entity"], "left_semi").groupBy("blob").agg(F.collect_set(F.struct("start", "end", "term")).alias("t"))
-    spans = stored(spans.select(F.col("blob").alias(f"{_P}of"), F.transform(F.array_sort("t"), lambda s: F.struct(F.lit(4).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["term"].alias("value"))).cast(SPAN).alias(f"{_P}terms")), "pii-terms")
-    both = first.join(spans, F.col(f"{_P}blob") == F.col(f"{_P}of"), "left")
-    return both.select(*keep, F.concat(F.col(f"{_P}base"), F.coalesce(F.col(f"{_P}terms"), F.array().cast(SPAN))).alias("pii_spans"))
+    nt = docs.select(F.explode(_terms(body)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    asked = holders.join(wide, "blob").select("blob", "most", F.explode(_terms(F.col("text"))).alias("term"))
+    rare = asked.join(nt, "term").filter("n_t <= most").select("blob", "term", "n_t")
+    pairs = rare.join(classes, "blob").filter(F.col("n_t") <= most)
+    pairs = stored(pairs.select("blob", "term", "m", "n_t", "n_e", "x", "y"), "pii-pairs")
+    key = ["term", "n_e", "x", "y"]
+    ic = F.log2(F.lit(total) / F.col("n_e"))
+    pmi = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
+    telling = pairs.groupBy(*key).agg(F.sum("m").alias("n_te"), F.first("n_t").alias("n_t")).filter(pmi >= ic * alpha).select(*key)
+    marked = stored(pairs.join(telling, key, "left_semi").select("blob", "term").distinct(), "pii-terms")
+
+    # where they stand
+    free = lambda w: ~F.exists("base", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
+    words = holders.join(marked.select("blob").distinct(), "blob", "left_semi").select("blob", F.explode(F.filter(found(F.col("text"), 4, TERM), free)).alias("w"))
+    words = words.select("blob", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    places = words.join(marked, ["blob", "term"], "left_semi").groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end", "term"))).alias("t"))
+    places = places.select("blob", F.transform("t", lambda s: F.struct(F.lit(4).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["term"].alias("value"))).cast(SPAN).alias("terms"))
+    spans = holders.select("blob", "base").join(places, "blob", "left")
+    spans = stored(spans.select(F.col("blob").alias(f"{_P}of"), F.concat("base", F.coalesce("terms", F.array().cast(SPAN))).alias(f"{_P}spans")), "pii-spans")
+    both = docs.select(*keep, _named(body).alias(f"{_P}blob")).join(spans, F.col(f"{_P}blob") == F.col(f"{_P}of"), "left")
+    return both.select(*keep, F.coalesce(f"{_P}spans", F.array().cast(SPAN)).alias("pii_spans"))
 
 
 def sanitised(docs: DataFrame, text: str = "text", **options) -> DataFrame:

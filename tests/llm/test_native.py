@@ -79,6 +79,7 @@ def pii(t):
 NASTY = [
     "é𝄞 a@b.c_d@e.f.g x@y..z a..b@c-d.e@f.g.h 1.2.3.4.5.6.7.8 999.1.1.1 01.002.3.255 1.2..3.4.5.6 +1 (234) 567-8901 +1-2 ++49 30 1234567.",
     "4111 1111 1111 1111 4111-1111-1111-11111 411111111111111 4111  1111 1111 1111", "@" * 50 + "a@b.c" * 300, "1 " * 3000, "x" * 50_000 + "@", "+1" * 200 + " 2345678901", "3.4" * 700,
+    "10.0.0.1 192.168.0.1 00.000.0.255 0.0.0.0 0000.00256.1.1 256.0.0.0 1.256.0.1 1.1.1.0255 x0.0.0.00y",
 ]
 
 
@@ -106,6 +107,48 @@ def test_entities_of_one_document_are_judged(spark):
     assert "zebulon7q" in got[200] and not got[200] & {"contact", "again"} and not got[5]
 
 
+def disclosing(texts, alpha=privacy.ALPHA):
+    """Spans of every text by the definition: all pairs of terms and entities of a document."""
+    import math
+
+    base = [pii(t or "") for t in texts]
+    terms = [{w.lower() for w in re.findall(r"[^\W_]+", t or "") if re.search(r"[^\W\d_]", w)} for t in texts]
+    own = [{t[a:z].lower() for _, a, z in b} for t, b in zip(texts, base, strict=True)]
+    n_t, n_e = (collections.Counter(x for s in v for x in s) for v in (terms, own))
+    n_te = collections.Counter((t, e) for ts, es in zip(terms, own, strict=True) for t in ts for e in es)
+    d, out = len(texts), []
+    tells = lambda t, e: math.log2(n_te[t, e] * d / (n_t[t] * n_e[e])) >= alpha * math.log2(d / n_e[e])
+    for text, b, es in zip(texts, base, own, strict=True):
+        more = [(4, *m.span()) for m in re.finditer(r"[^\W_]+", text or "") if es and re.search(r"[^\W\d_]", m[0]) and any(tells(m[0].lower(), e) for e in es)]
+        out.append(b + [x for x in more if not any(x[1] < z and a < x[2] for _, a, z in b)])
+    return out
+
+
+def test_op6_equals_brute_force(spark, tmp_path):
+    import random
+
+    r = random.Random(11)
+    people = [(f"name{i}", f"p{i}@mail.example", f"10.0.{i}.0") for i in range(12)]
+    texts = [x[1] for x in ROWS if x[1] != ROWS[7][1]]
+    for i in range(150):
+        ws = [f"w{min(int(r.expovariate(0.08)), 200)}" for _ in range(r.randint(3, 80))]
+        for who in r.sample(people, r.choice((0, 0, 1, 2))):
+            ws[r.randrange(len(ws)) : 0] = [who[0], "Kim", who[r.choice((1, 2))]]
+        texts += [" ".join(ws)] * r.choice((1, 1, 1, 3))
+    d = folder(spark, tmp_path, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    names = ["email", "ip", "card", "phone", "term"]
+    line = lambda s: ",".join(f"{names[k]}:{a}:{z}" for k, a, z in s)
+    want = disclosing(texts)
+    assert any(k == 4 for s in want for k, *_ in s)
+    got = {x["doc_id"]: x for x in privacy.op6_privacy(spark, d).collect()}
+    assert len(got) == len(texts)
+    for i, s in enumerate(want):
+        base = [x for x in s if x[0] < 4]
+        assert got[i]["spans"] == line(s), texts[i]
+        assert got[i]["base_sha256"] == hashlib.sha256(line(base).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in names[:4]] == [sum(x[0] == j for x in base) for j in range(4)]
+
+
 def test_privacy_edges(spark):
     assert privacy.disclosed(documents(spark, [])).count() == 0
     out = privacy.disclosed(clashing(spark))
