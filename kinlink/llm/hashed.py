@@ -104,7 +104,7 @@ def read_bytes(uri: str, name: str) -> bytes:
         return f.read()
 
 
-def _mapped(uri: str, name: str) -> np.ndarray:
+def mapped(uri: str, name: str) -> np.ndarray:
     store, path = _filesystem(uri)
     if store is None:
         path = f"{path}/{name}"
@@ -132,7 +132,7 @@ class Store:
 
     def shard(self, i: int) -> list[np.ndarray]:
         if i not in self.open:
-            raw = _mapped(self.uri, f"shard-{i:05d}.bin")
+            raw = mapped(self.uri, f"shard-{i:05d}.bin")
             rows, at, cols = len(raw) // sum(d.itemsize for d in self.dtypes), 0, []
             for d in self.dtypes:
                 cols.append(raw[at : at + rows * d.itemsize].view(d))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashed import Hasher, Store, U, _mapped, chunks, cuts, manifest, stir, write_bytes, write_shard
+from .hashed import Hasher, Store, U, chunks, cuts, manifest, mapped, stir, write_bytes, write_shard
 from .shared import scratch, table
 
 WIDTH = 35
@@ -115,7 +115,7 @@ class Sketch:
         for i in np.flatnonzero(np.diff(ends)):
             a, b = ends[i], ends[i + 1]
             if (row, i) not in self.open:
-                self.open[row, i] = _mapped(self.uri, f"row{row}-{i:06d}.bin")
+                self.open[row, i] = mapped(self.uri, f"row{row}-{i:06d}.bin")
             c = (cells[a:b] & U((1 << block) - 1)).astype(np.int64)
             out[a:b] = (self.open[row, i][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1
         return out

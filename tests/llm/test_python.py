@@ -177,6 +177,76 @@ def test_short_items_amid_unique_words(spark):
     assert {(10_000 + i, i) for i, _ in items} <= got and not {d for d, _ in got if d < 10_000}
 
 
+def planted(r, items, docs, share, kept=3):
+    """One copy of each item in a document of its own, ``share`` of its words replaced by words of documents, some rare ones spared."""
+    pool = [w for t in docs for w in t.split()]
+    count = collections.Counter(w for t in docs for w in set(t.split()))
+    rows = []
+    for i, t in items:
+        ws = t.split()
+        spared = set(sorted(range(len(ws)), key=lambda k: count[ws[k]])[:kept])
+        at = r.sample([k for k in range(len(ws)) if k not in spared], min(round(share * len(ws)), len(ws) - len(spared)))
+        for k in at:
+            ws[k] = r.choice(pool)
+        around = [r.choice(pool) for _ in range(120)]
+        rows.append((10**6 + i, " ".join([*around[:60], *ws, *around[60:]]), "en", "a"))
+    return rows
+
+
+def exhaustive(rows, items, answers):
+    """Every item against every stretch of twice its length and more of every text, by the same bars."""
+    kinds = collections.Counter(w for _, ws in items for w in set(ws))
+    rarity = {w: math.log((1 + len(items)) / (1 + n)) + 0.1 for w, n in kinds.items()}
+    found = set()
+    for d, t, *_ in rows:
+        h = decontam.term_hashes([(t or "").encode()])[0].tolist()
+        for (i, ws), answer in zip(items, answers, strict=True):
+            n, own = len(ws), set(ws)
+            at = decontam._positions(ws)
+            for a in range(0, max(1, len(h) - 3 * n + 1), max(1, n // 2)):
+                part = h[a : a + 3 * n]
+                if sum(w in own for w in part) >= decontam.PARAPHRASE * n:
+                    share, there = decontam.lcs(at, n, part) / n, set(part)
+                    told = answer <= there if answer else sum(rarity[w] for w in own & there) >= decontam.ANSWER * sum(rarity[w] for w in own)
+                    if share >= decontam.SURE or share >= decontam.PARAPHRASE and told:
+                        found.add((d, i))
+                        break
+    return found
+
+
+@pytest.mark.parametrize("answered", [False, True])
+def test_paraphrases_equal_exhaustive_search(spark, sf, answered):
+    """Recall against the exhaustive search at three rates of replaced words, and nothing beyond it in the corpus."""
+    r = random.Random(17)
+    bench = [(x["item_id"], x["text"]) for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(x["doc_id"], x["text"], "en", "a") for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts = [t for _, t, *_ in docs if t]
+    items = [(i, decontam.term_hashes([t.encode()])[0].tolist()) for i, t in bench]
+    count = collections.Counter(w for t in texts for w in set(t.split()))
+    told = [" ".join(sorted(t.split(), key=lambda w: count[w])[:3]) if answered else None for _, t in bench]
+    answers = [set(decontam.term_hashes([(a or "").encode()])[0].tolist()) for a in told]
+    table = spark.createDataFrame([(i, t, a) for (i, t), a in zip(bench, told, strict=True)], "item_id bigint, text string, answer string")
+    for share in (0.25, 0.35, 0.42):
+        rows = planted(r, bench, texts, share)
+        want = exhaustive(rows, items, answers)
+        got = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(documents(spark, docs + rows), table if answered else table.drop("answer")).collect()}
+        own = {(10**6 + i, i) for i, _ in bench}
+        assert len(got & own) >= 0.9 * len(own), (share, len(got & own))
+        assert len(got & want) >= 0.95 * len(want)
+        clean = {(d, i) for d, i in got if d < 10**6}
+        assert clean <= exhaustive([x for x in docs if x[0] in {d for d, _ in clean}], items, answers)
+
+
+def test_answer_must_be_there(spark):
+    ws = [f"q{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(ws), "q39"), (2, "", "q1")], "item_id bigint, text string, answer string")
+    part = [w if i % 5 < 3 else f"x{i}" for i, w in enumerate(ws)]
+    rows = [(1, " ".join(part), "en", "a"), (2, " ".join([*part[:39], "q39"]), "en", "a")]
+    rows += [(9 + i, f"other words of no item {i}", "en", "a") for i in range(60)]
+    assert [tuple(x)[:2] for x in decontam.contaminated(documents(spark, rows), bench).collect()] == [(2, 1)]
+    assert sorted(tuple(x)[:2] for x in decontam.contaminated(documents(spark, rows), bench.drop("answer")).collect()) == [(1, 1), (2, 1)]
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, PASSAGE), (2, None), (3, " ")], "item_id bigint, text string")
     assert sorted(tuple(x)[:2] for x in decontam.contaminated(documents(spark), bench).collect()) == [(8, 1), (9, 1)]
