@@ -12,18 +12,24 @@ ACCENTS = {
 LIGATURES = {"Æ": "ae", "æ": "ae", "Œ": "oe", "œ": "oe", "ß": "ss"}
 
 #: Legal forms and noise that a core name leaves out.
-CORE_STOP = (
-    "llc inc incorporated pvt private ltd limited co company corp corporation lp llp plc the and www com org net "
-    "http https sri shri smt sarl sas sa eurl"
-).split()
+CORE_STOP = [
+    "llc", "inc", "incorporated", "pvt", "private", "ltd", "limited", "co", "company", "corp", "corporation", "lp", "llp", "plc", "the",
+    "and", "www", "com", "org", "net", "http", "https", "sri", "shri", "smt", "sarl", "sas", "sa", "eurl",
+]
 #: Legal forms that the plain core name leaves out.
-LEGAL = "llc inc pvt private ltd limited co company corp corporation lp llp plc the".split()
+LEGAL = [
+    "llc", "inc", "pvt", "private", "ltd", "limited", "co", "company", "corp", "corporation", "lp", "llp", "plc", "the",
+]
 #: Generic business nouns that the loose core leaves out.
-GENERIC = "enterprises enterprise center services service trading partners store".split()
+GENERIC = [
+    "enterprises", "enterprise", "center", "services", "service", "trading", "partners", "store",
+]
 #: Phonetic spellings of legal forms. Two hold a space and so match no token; they are kept as given.
 PHONETIC_LEGAL = ["lmt d", "lmtd", "prvt", "prv t", "prv", "pvt", "ltd", "llk", "llp", "lk", "kp", "krp", "krprtn", "nkrprtd", "kmpn", "th", "nd", "plk"]
 
-ADDRESS_STOP = "no number door plot flat h house india usa".split()
+ADDRESS_STOP = [
+    "no", "number", "door", "plot", "flat", "h", "house", "india", "usa",
+]
 #: Only the first occurrence of each phrase is replaced, in this order.
 ADDRESS_PHRASES = {
     "west virginia": "wv", "north carolina": "nc", "south carolina": "sc", "north dakota": "nd", "south dakota": "sd", "new york": "ny",

@@ -8,26 +8,24 @@ from pyspark.sql import functions as F
 from .text import let
 
 
-def _grams(s: Column, n: int) -> Column:
-    """Runs of n bytes, as hexadecimal digits."""
+def grams(s: Column, n: int) -> Column:
+    """Runs of n bytes as whole numbers, the k-th run of a kind told from the others by k: shared runs of
+    two strings, as multisets, are then shared numbers."""
     h = F.hex(F.encode(s, "UTF-8"))
-    return let(h, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2 * n + 1, F.lit(2)), lambda i: F.substr(x, i, F.lit(2 * n))))
+    codes = let(h, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2 * n + 1, F.lit(2)), lambda i: F.conv(F.substr(x, i, F.lit(2 * n)), 16, 10).cast("bigint")))
+    told = let(codes, lambda g: F.transform(g, lambda x, i: x + F.lit(1 << 32) * F.size(F.filter(F.slice(g, F.lit(1), i), lambda y: y == x))))
+    return F.when(F.octet_length(s) >= n, told).otherwise(F.array().cast("array<bigint>"))
+
+
+def dice(a: Column, b: Column, ga: Column, gb: Column) -> Column:
+    """Dice similarity of strings with their grams; 1 if equal, 0 if either is empty or too short."""
+    total = F.size(ga) + F.size(gb)
+    value = 2.0 * F.size(F.array_intersect(ga, gb)) / F.greatest(total, F.lit(1))
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(value)
 
 
 def _dice(a: Column, b: Column, n: int) -> Column:
-    def shared(x, y):
-        # runs of equal grams in both sorted lists: the smaller count of each
-        def of(u, v):
-            return F.aggregate(
-                F.array_distinct(F.array_intersect(u, v)), F.lit(0),
-                lambda s, g: s + F.least(F.size(F.filter(u, lambda t: t == g)), F.size(F.filter(v, lambda t: t == g))),
-            )
-
-        return let(x, lambda u: let(y, lambda v: of(u, v)))
-
-    total = F.octet_length(a) + F.octet_length(b) - 2 * (n - 1)
-    value = 2.0 * shared(_grams(a, n), _grams(b, n)) / total
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when((F.octet_length(a) < n) | (F.octet_length(b) < n), 0.0).otherwise(value)
+    return let(grams(a, n), lambda x: let(grams(b, n), lambda y: dice(a, b, x, y)))
 
 
 def dice3(a: Column, b: Column) -> Column:

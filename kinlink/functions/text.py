@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
+from . import scripts
 
 
 def let(value: Column, body) -> Column:
@@ -165,3 +166,38 @@ def number_blocks(address: Column, tokens: Column) -> Column:
 
 def initials(core: Column) -> Column:
     return F.array_join(F.transform(core, lambda t: F.substring(t, 1, 1)), "")
+
+
+def romanize(s: Column) -> Column:
+    """Latin spelling of Brahmic letters; joiners, combining accents and characters of the block
+    without a sound vanish. Text without any of these is only folded."""
+    c = scripts.classes()
+    longer, (letters_, plain) = scripts.sounds()
+    out = F.regexp_replace(fold_text(s), c["silent"], "")
+    out = F.regexp_replace(out, f"({c['consonant']})(?!{c['taking']})", "$1a")
+    for sound, which in longer.items():
+        out = F.regexp_replace(out, which, sound)
+    return F.when(s.rlike(c["any"]), F.translate(out, letters_, plain)).otherwise(fold_text(s))
+
+
+def phonetic(s: Column) -> Column:
+    """Consonant skeleton of the letters a-z; a doubled sound is written once, but x always adds its two sounds."""
+    out = F.regexp_replace(F.replace(s, F.lit("ph"), F.lit("f")), "[^a-z]|[aeiouh]", "")
+    out = F.regexp_replace(F.translate(out, "cqwz", "kkvs"), r"([b-wy])\1+", "$1")
+    return F.replace(F.replace(out, F.lit("xs"), F.lit("x")), F.lit("x"), F.lit("ks"))
+
+
+def sound_words(roman: Column) -> Column:
+    """Sounds of romanised core words without legal forms."""
+    sounds = F.transform(roman, phonetic)
+    return tidy(F.filter(sounds, lambda t: (t != "") & ~F.array_contains(strings(K.PHONETIC_LEGAL), t)))
+
+
+def sound_keys(sound: Column) -> list[tuple[int, Column]]:
+    """Phonetic blocks: all sounds (13), each sound (14), pairs of up to eight sounds (15)."""
+    pairs_ = F.filter(all_pairs(sound), lambda k: F.octet_length(k) >= 6)
+    return [
+        (13, F.when(F.size(sound) > 0, F.array(joined(sound))).otherwise(F.array().cast("array<string>"))),
+        (14, F.filter(sound, lambda t: F.octet_length(t) >= 3)),
+        (15, F.when(F.size(sound) <= 8, pairs_).otherwise(F.array().cast("array<string>"))),
+    ]

@@ -6,22 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import similarity as S
 from ..functions import text as X
 
 MICRO = 1_000_000
 
 
 def prepare(records: DataFrame) -> DataFrame:
-    """Every normalised form of a record, computed once."""
+    """Every normalised form of a record, computed once. What a plan doesn't read isn't computed."""
     n, a = F.col("business_name"), F.col("business_address")
     out = records.withColumns(
         {"name_words": X.words(n), "addr_raw": X.words(a), "core": X.core_words(n), "addr": X.address_words(a), "name_c": X.compact(X.lower_ascii(n)), "addr_c": X.compact(X.lower_ascii(a)),
-         "first": X.first_number(a), "indic": X.is_indic(n)}
+         "first": X.first_number(a), "indic": X.is_indic(n), "roman": X.core_words(X.romanize(n)), "roman_addr": X.address_words(X.romanize(a)), "digits": X.digit_runs(a)}
     )
-    return out.withColumns(
-        {"core_c": X.compact(X.joined(F.col("core"))), "addr_j": X.joined(F.col("addr")), "nums": X.numbers(F.col("addr")), "letters": X.letters(F.col("addr")),
-         "postal": X.postal(F.col("addr")), "initials": X.initials(F.col("core")), "core_n": X.core_name(F.col("name_words"))}
+    c = F.col
+    out = out.withColumns(
+        {"core_c": X.compact(X.joined(c("core"))), "addr_j": X.joined(c("addr")), "nums": X.numbers(c("addr")), "letters": X.letters(c("addr")),
+         "postal": X.postal(c("addr")), "initials": X.initials(c("core")), "core_n": X.core_name(c("name_words")), "mixed": X.mixed_numbers(c("addr_raw")),
+         "sound": X.sound_words(c("roman")), "roman_c": X.compact(X.joined(c("roman"))), "roman_addr_j": X.joined(c("roman_addr"))}
     )
+    out = out.withColumns({"letters_j": X.joined(c("letters")), "sound_j": X.joined(c("sound"))})
+    # grams of strings that pairs are compared by
+    return out.withColumns({f"{k}_3": S.grams(c(k), 3) for k in THREES} | {f"{k}_2": S.grams(c(k), 2) for k in TWOS})
+
+
+THREES = ["name_c", "addr_c", "core_c", "addr_j", "letters_j", "roman_c", "roman_addr_j"]
+TWOS = ["core_c", "addr_j", "sound_j"]
 
 
 def _keys(parts: list[tuple[int, Column]]) -> Column:
@@ -46,7 +56,7 @@ def base_postings(prepared: DataFrame) -> DataFrame:
 
 def enhanced_postings(prepared: DataFrame, more=None) -> DataFrame:
     """Base keys plus normalised forms (6 to 12). ``more``: a function of the prepared columns that
-    returns further (type, key array) pairs, e.g. phonetic keys."""
+    returns further (type, key array) pairs, e.g. ``sound_blocks``."""
     c = F.col
     names, addrs = X.index_words(c("name_words"), 4), X.index_words(c("addr_raw"), 6)
     long = lambda v: F.filter(v, lambda w: F.octet_length(w) >= 3)
@@ -58,6 +68,11 @@ def enhanced_postings(prepared: DataFrame, more=None) -> DataFrame:
     return _postings(prepared, parts + (more() if more else []), 3)
 
 
+def sound_blocks() -> list[tuple[int, Column]]:
+    """Phonetic keys (13 to 15) for ``more``, on both sides."""
+    return X.sound_keys(F.col("sound"))
+
+
 def reference_postings(prepared: DataFrame) -> DataFrame:
     """Keys of source 1 for the way back: core words in alphabetical order make the pairs."""
     c = F.col

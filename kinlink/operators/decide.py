@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import sigmoid
+from ..sources.workspace import kept
+
+#: Ranges of scores in a sweep: at most so many rows are ordered in one task.
+RANGES = 200
 
 
 def threshold(df: DataFrame, t: float) -> DataFrame:
@@ -29,16 +33,17 @@ def expected_f(df: DataFrame, tie: list[str], keys: list[str] = ("q",), scale: C
     return df.withColumn("chosen", (F.col("best.utility") > F.col("empty")) & (F.col("k") <= -F.col("best.nk"))).drop("best")
 
 
-def rules(x: dict[str, Column], p: Column, t: float, bits: int) -> Column:
+def rules(x: dict[str, Column], p: Column, t: float | Column, bits: int | Column) -> Column:
     """Threshold on p, changed by rules: 1 equal core without target address, 2 other script with equal
     address, 4 conflicting numbers with weak names."""
+    on = lambda k: F.lit(True) if isinstance(bits, int) else bits.bitwiseAND(F.lit(k)) != 0
     out = p >= t
-    if bits & 1:
-        out = out | ((x["core_equal"] > 0.5) & (x["target_address_missing"] > 0.5) & (x["name_dice"] > 0.7))
-    if bits & 2:
-        out = out | ((x["script_mismatch"] > 0.5) & (x["address_dice"] >= 0.72) & (x["address_overlap"] >= 0.72) & (x["number_conflict"] < 0.5))
-    if bits & 4:
-        out = out & ~((x["number_conflict"] > 0.5) & (x["name_dice"] < 0.7) & (x["name_overlap"] < 0.7))
+    if not isinstance(bits, int) or bits & 1:
+        out = out | on(1) & ((x["core_equal"] > 0.5) & (x["target_address_missing"] > 0.5) & (x["name_dice"] > 0.7))
+    if not isinstance(bits, int) or bits & 2:
+        out = out | on(2) & ((x["script_mismatch"] > 0.5) & (x["address_dice"] >= 0.72) & (x["address_overlap"] >= 0.72) & (x["number_conflict"] < 0.5))
+    if not isinstance(bits, int) or bits & 4:
+        out = out & ~(on(4) & (x["number_conflict"] > 0.5) & (x["name_dice"] < 0.7) & (x["name_overlap"] < 0.7))
     return out
 
 
@@ -52,8 +57,8 @@ def sweep(df: DataFrame, truth: DataFrame) -> DataFrame:
     """The threshold with the highest macro F0.5 over all entities of ``truth`` (q, truth), exactly: each
     distinct score is tried, equal scores move together, of equal bests the higher threshold wins.
 
-    Per entity the change of F at each of its own scores; changes are summed per score, and one running
-    sum goes over distinct scores, after partial aggregation. One row: threshold, macro (rounded)."""
+    Per entity the change of F at each of its own scores; changes are summed per score, and the running sum
+    over distinct scores is taken range by range. One row: threshold, macro (rounded)."""
     per = df.join(truth, "q").groupBy("q", "truth", "score").agg(F.sum("label").alias("tp"), F.count("*").alias("n"))
     run = Window.partitionBy("q").orderBy(F.col("score").desc())
     upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -64,7 +69,13 @@ def sweep(df: DataFrame, truth: DataFrame) -> DataFrame:
     step = F.round((F.col("f") - F.coalesce(F.lag("f").over(run), start)) * 1e12).cast("bigint")
     steps = per.withColumn("d", step).groupBy("score").agg(F.sum("d").alias("d"))
     base = truth.agg(F.count("*").alias("n"), F.count(F.when(F.col("truth") == 0, 1)).alias("singles"))
-    total = steps.withColumn("total", F.sum("d").over(Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # ranges of scores: sums of whole ranges run over a few hundred rows, sums inside a range in its own task
+    parts = steps.repartitionByRange(RANGES, F.col("score").desc()).withColumn("part", F.spark_partition_id())
+    parts = kept(parts, "sweep")
+    sums = parts.groupBy("part").agg(F.sum("d").alias("s"))
+    before = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    inside = Window.partitionBy("part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = parts.withColumn("own", F.sum("d").over(inside)).join(F.broadcast(before), "part").withColumn("total", F.col("own") + F.col("before"))
     best = total.agg(F.max(F.struct("total", "score")).alias("b"), F.max("score").alias("top"))
     none = F.coalesce(F.col("b.total"), F.lit(0)) <= 0
     return best.join(F.broadcast(base)).select(
@@ -90,3 +101,15 @@ def scale_shift(df: DataFrame, truth: DataFrame, scales: list[float], shifts: li
     every = truth.join(F.broadcast(cells)).join(counted, ["scale", "shift", "q"], "left")
     tp, n = F.coalesce("tp", F.lit(0)), F.coalesce("n", F.lit(0))
     return every.groupBy("scale", "shift").agg(F.round(F.avg(f_half(tp, n - tp, F.col("truth"))), 6).alias("macro"))
+
+
+def rule_grid(df: DataFrame, truth: DataFrame, thresholds: list[float], bits: list[int] = range(8)) -> DataFrame:
+    """Macro F0.5 for each threshold and set of rules; ``df`` has q, label, score (a probability) and the
+    legacy features that rules read."""
+    cells = df.sparkSession.createDataFrame([(float(t), int(b)) for t in thresholds for b in bits], "threshold double, rules int")
+    x = {c: F.col(c) for c in ("core_equal", "target_address_missing", "name_dice", "script_mismatch", "address_dice", "address_overlap", "number_conflict", "name_overlap")}
+    chosen = df.select("q", "label", "score", *x).join(F.broadcast(cells)).filter(rules(x, F.col("score"), F.col("threshold"), F.col("rules")))
+    counted = chosen.groupBy("threshold", "rules", "q").agg(F.sum("label").alias("tp"), F.count("*").alias("n"))
+    every = truth.join(F.broadcast(cells)).join(counted, ["threshold", "rules", "q"], "left")
+    tp, n = F.coalesce("tp", F.lit(0)), F.coalesce("n", F.lit(0))
+    return every.groupBy("threshold", "rules").agg(F.round(F.avg(f_half(tp, n - tp, F.col("truth"))), 6).alias("macro"))

@@ -17,10 +17,15 @@ def top(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 
 def accumulate(blocks: DataFrame, postings: DataFrame, kinds: dict[int, float]) -> DataFrame:
-    """Sum of block weights per query and target (in millionths)."""
+    """Sum of block weights per query and target (in millionths).
+
+    Rows are dealt by query once: the sums, and later rankings within a query, need no further shuffle.
+    Blocks are small and their rows many, so the number of partitions is stated (twice that of other
+    shuffles, as the planner would drop one that equals the partitioning of the blocks)."""
     scored = blocks.withColumn("w", B.weight(kinds))
-    hits = scored.join(postings.withColumnRenamed("entity_id", "tid"), ["country", "type", "key"])
-    return hits.groupBy("qid", "tid").agg(F.sum("w").alias("score"))
+    hits = scored.join(postings.withColumnRenamed("entity_id", "tid"), ["country", "type", "key"]).select("qid", "tid", "w")
+    parts = 2 * int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hits.repartition(parts, "qid").groupBy("qid", "tid").agg(F.sum("w").alias("score"))
 
 
 def retrieve_base(queries: DataFrame, targets: DataFrame, cap: int = 800, per_family: int = 5, budget: int = 1800, k: int = 80) -> DataFrame:
@@ -32,12 +37,12 @@ def retrieve_base(queries: DataFrame, targets: DataFrame, cap: int = 800, per_fa
 
 def rerank(hits: DataFrame, queries: DataFrame, targets: DataFrame, weights: tuple[float, float, float, float], k: int) -> DataFrame:
     """Add weighted similarities of core names and addresses to the score and keep the best k."""
-    cols = ["core", "addr", "core_c"]
+    cols = ["core", "addr", "core_c", "core_c_3"]
     q = queries.select(F.col("entity_id").alias("qid"), *[F.col(c).alias(f"q_{c}") for c in cols])
     t = targets.select(F.col("entity_id").alias("tid"), *[F.col(c).alias(f"t_{c}") for c in cols])
     c = F.col
     both = hits.join(q, "qid").join(t, "tid").withColumns(
-        {"nd": S.dice3(c("q_core_c"), c("t_core_c")), "no": S.token_overlap(c("q_core"), c("t_core")), "ao": S.token_overlap(c("q_addr"), c("t_addr"))}
+        {"nd": S.dice(c("q_core_c"), c("t_core_c"), c("q_core_c_3"), c("t_core_c_3")), "no": S.token_overlap(c("q_core"), c("t_core")), "ao": S.token_overlap(c("q_addr"), c("t_addr"))}
     )
     a, b, d, e = weights
     extra = a * c("nd") + b * c("no") + d * c("ao") + e * c("nd") * c("ao")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import constants as K
+from ..functions import scripts as S
 from .fixtures import SCORES_SQL, SOURCES_SQL
 
 SEP = K.SEPARATOR
@@ -104,6 +105,57 @@ def dice(a: str, b: str, n: int) -> str:
     return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0 WHEN {a} = {b} THEN 1 WHEN strlen({a}) < {n} OR strlen({b}) < {n} THEN 0 ELSE 2.0::DOUBLE * {shared} / (strlen({a}) + strlen({b}) - {2 * (n - 1)}) END)"
 
 
+_AFTER = "\ue000"
+
+
+def romanize(x: str) -> str:
+    """Each consonant gets an a behind a mark, which goes if a sign follows the mark; then letters become sounds one by one."""
+    c = S.classes()
+    out = f"regexp_replace({fold(x)}, '{c['silent']}', '', 'g')"
+    out = f"regexp_replace({out}, '({c['consonant']})', '\\1{_AFTER}', 'g')"
+    out = f"replace(regexp_replace({out}, '{_AFTER}({c['taking']})', '\\1', 'g'), '{_AFTER}', 'a')"
+    for sound in sorted({s for form in S.letters().values() for s in form.values()}):
+        which = "".join(ch for form in S.letters().values() for ch, s in form.items() if s == sound)
+        out = f"regexp_replace({out}, '[{which}]', '{sound}', 'g')"
+    return f"(CASE WHEN regexp_matches({x}, '{c['any']}') THEN {out} ELSE {fold(x)} END)"
+
+
+def phonetic(x: str) -> str:
+    out = f"translate(regexp_replace(replace({x}, 'ph', 'f'), '[^a-z]|[aeiouh]', '', 'g'), 'cqwz', 'kkvs')"
+    for ch in "bdfgjklmnprstvy":
+        out = f"regexp_replace({out}, '{ch}+', '{ch}', 'g')"
+    return f"replace(regexp_replace({out}, 'xs', 'x', 'g'), 'x', 'ks')"
+
+
+def sound_words(roman: str) -> str:
+    return tidy(f"list_filter(list_transform({roman}, lambda t: {phonetic('t')}), lambda t: t <> '' AND NOT list_contains({_list(K.PHONETIC_LEGAL)}, t))")
+
+
+def edits(source: str) -> str:
+    """Edit similarity of the distinct pairs (a, b) of ``source``, as edits(a, b, s): rows of the table of optimal string
+    alignment one after the other, over bytes as hexadecimal digits. A cell's way from the left is the smallest
+    of all cells before it plus the distance."""
+    chars = lambda v: f"list_transform(range(0, least(192, strlen({v}))), lambda i: substr(hex(encode({v})), 2 * i + 1, 2))"
+    swap = "CASE WHEN i >= 1 AND j >= 2 AND x[i + 1] = y[j - 1] AND x[i] = y[j] THEN old[j - 1] + 1 ELSE 1000 END"
+    cell = f"CASE WHEN j = 0 THEN i + 1 ELSE least(cur[j + 1] + 1, cur[j] + CAST(x[i + 1] <> y[j] AS BIGINT), {swap}) END"
+    return f"""strings AS (SELECT DISTINCT a, b, {chars('a')} AS x, {chars('b')} AS y FROM {source} WHERE a <> '' AND b <> '' AND a <> b),
+steps AS (SELECT a, b, x, y, CAST(0 AS BIGINT) AS i, range(0, len(y) + 1) AS cur, range(0, len(y) + 1) AS old FROM strings
+  UNION ALL SELECT a, b, x, y, i + 1, list_transform(range(0, len(y) + 1), lambda j: list_min(far[1:j + 1]) + j), cur FROM (
+    SELECT a, b, x, y, i, cur, list_transform(range(0, len(y) + 1), lambda j: {cell} - j) AS far FROM steps WHERE i < len(x))),
+edits AS (SELECT a, b, 1 - CAST(cur[len(y) + 1] AS DOUBLE) / greatest(len(x), len(y)) AS s FROM steps WHERE i = len(x)
+  UNION ALL SELECT DISTINCT a, b, CAST(a <> '' AND a = b AS DOUBLE) FROM {source} WHERE a = '' OR b = '' OR a = b)"""
+
+
+def grams(x: str, n: int) -> str:
+    """Grams of a record's string, each with its number among equal ones."""
+    plain = f"list_transform(range(1, strlen({x}) - {n} + 2), lambda i: substr(h, 2 * i - 1, {2 * n}))"
+    return f"(SELECT list_transform(g, lambda y, i: y || '#' || len(list_filter(g[1:i], lambda z: z = y))) FROM (SELECT {plain} AS g FROM (SELECT hex(encode({x})) AS h)))"
+
+
+def dice_of(a: str, b: str, ga: str, gb: str) -> str:
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0 WHEN {a} = {b} THEN 1 WHEN least(len({ga}), len({gb})) = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect({ga}, {gb})) / (len({ga}) + len({gb})) END)"
+
+
 def ratio(a: str, b: str) -> str:
     return f"(CASE WHEN greatest(strlen({a}), strlen({b})) > 0 THEN CAST(least(strlen({a}), strlen({b})) AS DOUBLE) / greatest(strlen({a}), strlen({b})) ELSE 0 END)"
 
@@ -124,10 +176,10 @@ PREPARED = f"""{RECORDS},
 p0 AS (SELECT *, {words('business_name')} AS name_words, {words('business_address')} AS addr_raw, {core_words('business_name')} AS core, {address_words('business_address')} AS addr,
   {compact(low('business_name'))} AS name_c, {compact(low('business_address'))} AS addr_c, {first_number('business_address')} AS first,
   regexp_matches(business_name, '[\\x{{0900}}-\\x{{0DFF}}]') AS indic FROM records),
-prepared AS (SELECT *, {compact("array_to_string(core, ' ')")} AS core_c, array_to_string(addr, ' ') AS addr_j, {numbers('addr')} AS nums, {letters('addr')} AS letters,
+prepared AS MATERIALIZED (SELECT *, {grams('name_c', 3)} AS name_g, {grams('addr_c', 3)} AS addr_g, {grams('core_c', 3)} AS core_g FROM (SELECT *, {compact("array_to_string(core, ' ')")} AS core_c, array_to_string(addr, ' ') AS addr_j, {numbers('addr')} AS nums, {letters('addr')} AS letters,
   list_filter({numbers('addr')}, lambda t: strlen(t) IN (5, 6)) AS postal, array_to_string(list_transform(core, lambda t: substr(t, 1, 1)), '') AS initials,
   array_to_string(list_transform(list_filter(name_words, lambda t: NOT list_contains({_list(K.LEGAL)}, t)), lambda t: t || '|'), '') AS core_n,
-  {salience('name_words', 3, 4)} AS name_top, {salience('addr_raw', 3, 6)} AS addr_top, {salience('name_words', 2, 5)} AS name_pair, {salience('addr_raw', 2, 5)} AS addr_pair FROM p0)"""
+  {salience('name_words', 3, 4)} AS name_top, {salience('addr_raw', 3, 6)} AS addr_top, {salience('name_words', 2, 5)} AS name_pair, {salience('addr_raw', 2, 5)} AS addr_pair FROM p0))"""
 
 
 def records(columns: dict[str, str]) -> str:
@@ -205,7 +257,7 @@ def top(source: str, k: int) -> str:
 
 def reranked(source: str, w: tuple, k: int) -> str:
     a, b, d, e = (f"{x}::DOUBLE" for x in w)
-    nd, no, ao = dice("q.core_c", "t.core_c", 3), overlap("q.core", "t.core"), overlap("q.addr", "t.addr")
+    nd, no, ao = dice_of("q.core_c", "t.core_c", "q.core_g", "t.core_g"), overlap("q.core", "t.core"), overlap("q.addr", "t.addr")
     inner = f"SELECT qid, tid, CAST(score + round(({a} * nd + {b} * no + {d} * ao + {e} * nd * ao) * 1000000) AS BIGINT) AS score FROM (SELECT h.qid, h.tid, h.score, {nd} AS nd, {no} AS no, {ao} AS ao FROM {source} h JOIN prepared q ON q.entity_id = h.qid JOIN prepared t ON t.entity_id = h.tid)"
     return top(f"({inner})", k)
 
@@ -213,7 +265,7 @@ def reranked(source: str, w: tuple, k: int) -> str:
 LEGACY_SQL = f"""SELECT qid, tid, 1.0::DOUBLE AS const, nd AS name_dice, no AS name_overlap, nj AS name_jaccard, ad AS address_dice, ao AS address_overlap, aj AS address_jaccard, nm AS number_overlap,
   nc AS name_contained, nd * ad AS name_address_dice, no * ao AS name_address_overlap, greatest(nd, ad) AS max_dice, least(nd, ad) AS min_dice, ne AS name_equal, ce AS core_equal,
   ma AS target_address_missing, fe AS number_equal, fc AS number_conflict, sx AS script_mismatch, sx * ad AS script_address FROM (
-  SELECT h.qid, h.tid, {dice('q.name_c', 't.name_c', 3)} AS nd, {dice('q.addr_c', 't.addr_c', 3)} AS ad, {overlap('q.name_words', 't.name_words')} AS no, {jaccard('q.name_words', 't.name_words')} AS nj,
+  SELECT h.qid, h.tid, {dice_of('q.name_c', 't.name_c', 'q.name_g', 't.name_g')} AS nd, {dice_of('q.addr_c', 't.addr_c', 'q.addr_g', 't.addr_g')} AS ad, {overlap('q.name_words', 't.name_words')} AS no, {jaccard('q.name_words', 't.name_words')} AS nj,
     {overlap('q.addr_raw', 't.addr_raw')} AS ao, {jaccard('q.addr_raw', 't.addr_raw')} AS aj,
     {overlap("list_filter(q.addr_raw, lambda t: regexp_matches(t, '^[0-9]') AND strlen(t) >= 2)", "list_filter(t.addr_raw, lambda t: regexp_matches(t, '^[0-9]') AND strlen(t) >= 2)")} AS nm,
     CAST({contained('q.name_c', 't.name_c', 6)} AS DOUBLE) AS nc, CAST(q.name_c <> '' AND q.name_c = t.name_c AS DOUBLE) AS ne, CAST(q.core_n <> '' AND q.core_n = t.core_n AS DOUBLE) AS ce,
@@ -237,3 +289,9 @@ def sigmoid(x: str, clip: int) -> str:
 
 
 SCORES = f"{SCORES_SQL}, truths AS (SELECT doc_id AS q, CAST(CAST(doc_id % 5 <> 0 AS INTEGER) + CAST(doc_id % 3 <> 0 AS INTEGER) AS BIGINT) AS truth FROM documents)"
+
+
+#: Romanised core words and sounds of every record.
+SOUNDS = f"{PREPARED}, sounding AS (SELECT *, {sound_words('roman')} AS sound FROM (SELECT *, {core_words(romanize('business_name'))} AS roman FROM prepared))"
+_SOUND_PAIRS = f"CASE WHEN len(sound) <= 8 THEN list_filter({every_pair('sound')}, lambda k: strlen(k) >= 6) ELSE [] END"
+SOUND_KEYS = [(13, "CASE WHEN len(sound) > 0 THEN [array_to_string(sound, ' ')] ELSE [] END"), (14, "list_filter(sound, lambda t: strlen(t) >= 3)"), (15, _SOUND_PAIRS)]

@@ -20,10 +20,14 @@ from . import oracles as o
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-#: Caps that bind on small tables, so that selection is exercised.
-BASE = {"cap": 40, "per_family": 3, "budget": 200, "k": 20}
-ENHANCED = {"cap": 60, "per_type": 3, "budget": 250, "first": 40, "k": 20}
-REVERSE = {"cap": 60, "per_type": 3, "budget": 200, "first": 30, "k": 12}
+#: The caps that candidates are drawn with.
+BASE = {"cap": 800, "per_family": 5, "budget": 1800, "k": 80}
+ENHANCED = {"cap": 12_000, "per_type": 8, "budget": 30_000, "first": 600, "k": 160}
+REVERSE = {"cap": 12_000, "per_type": 7, "budget": 12_000, "first": 120, "k": 12}
+#: Caps that bind on small tables, so that selection is exercised there too (queries named _tight).
+TIGHT_BASE = {"cap": 40, "per_family": 3, "budget": 200, "k": 20}
+TIGHT_ENHANCED = {"cap": 60, "per_type": 3, "budget": 250, "first": 40, "k": 20}
+TIGHT_REVERSE = {"cap": 60, "per_type": 3, "budget": 200, "first": 30, "k": 12}
 
 
 def query(name: str, sql: str | None = None):
@@ -102,6 +106,14 @@ def semi_targets(spark, d):
     return tsv.semi_targets(s2.unionByName(s3), wanted).select("entity_id", "business_name")
 
 
+@query("lookup_records", f"WITH {o.RECORDS} SELECT entity_id, business_name FROM records WHERE {o.TARGETS} AND entity_id IN (SELECT tid FROM truth WHERE CAST(substr(qid, 4) AS BIGINT) % 11 = 2)")
+def lookup_records(spark, d):
+    """By id; an id without a record would fail the query."""
+    _, s2, s3 = fx.sources(spark, d)
+    wanted = fx.truth(spark, d).filter(tsv.id_number(F.col("qid")) % 11 == 2).select(F.col("tid").alias("entity_id"))
+    return tsv.lookup(s2.unionByName(s3), wanted).select("entity_id", "business_name")
+
+
 @query("prefix_queries", f"WITH {o.RECORDS} SELECT entity_id, country FROM s1 ORDER BY entity_id LIMIT 128")
 def prefix_queries(spark, d):
     return tsv.prefix(fx.sources(spark, d)[0], 128).select("entity_id", "country")
@@ -147,46 +159,63 @@ def sim_numeric_evidence(spark, d):
     return near_pairs(spark, d).select("qid", "tid", *[c.cast("bigint").alias(k) for k, c in v.items()])
 
 
-@query("sim_edit_osa")
+EDIT_PAIRS = PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("sim_edit_osa", f"{EDIT_PAIRS}, wanted AS (SELECT DISTINCT name_c AS a, t_name_c AS b FROM pair), {o.edits('wanted')} SELECT qid, tid, round(s, 6) AS v FROM pair JOIN edits ON a = name_c AND b = t_name_c")
 def sim_edit_osa(spark, d):
     edit = F.pandas_udf(lambda a, b: pd.Series([P.edit_similarity(x, y) for x, y in zip(a, b, strict=True)]), "double")
     return near_pairs(spark, d).select("qid", "tid", F.round(edit("q_name_c", "t_name_c"), 6).alias("v"))
 
 
-@query("sim_fuzzy")
+_FUZZY = "CASE WHEN a = b THEN 1 WHEN least(strlen(a), strlen(b)) >= 3 AND least(strlen(a), strlen(b)) > 0.5 * greatest(strlen(a), strlen(b)) THEN s ELSE 0 END"
+
+
+@query("sim_fuzzy", f"""{EDIT_PAIRS}, tokens AS (SELECT qid, tid, a, unnest(CASE WHEN len(t_core) > 0 THEN t_core ELSE [''] END) AS b FROM (SELECT qid, tid, unnest(core) AS a, t_core FROM pair)),
+wanted AS (SELECT DISTINCT a, b FROM tokens), {o.edits('wanted')}, best AS (SELECT qid, tid, a, max({_FUZZY}) AS m FROM tokens JOIN edits USING (a, b) GROUP BY qid, tid, a),
+per AS (SELECT qid, tid, avg(m) AS mean, count(*) FILTER (WHERE m < 0.75::DOUBLE) AS lost FROM best GROUP BY qid, tid)
+SELECT qid, tid, round(coalesce(mean, 0), 6) AS mean, coalesce(lost, 0) AS lost FROM pair LEFT JOIN per USING (qid, tid)""")
 def sim_fuzzy(spark, d):
     fuzzy = F.pandas_udf(lambda a, b: pd.DataFrame([P.fuzzy_overlap(list(x), list(y)) for x, y in zip(a, b, strict=True)], columns=["mean", "lost"]), "mean double, lost bigint")
     return near_pairs(spark, d).select("qid", "tid", fuzzy("q_core", "t_core").alias("f")).select("qid", "tid", F.round("f.mean", 6).alias("mean"), "f.lost")
 
 
-@query("sim_name_idf")
+def _evidence(side: str, own: str, other: str) -> str:
+    """Tokens of one side, each with its best match, its weight and its place."""
+    return f"SELECT qid, tid, '{side}' AS side, country, i, {own}[i] AS a, unnest(CASE WHEN len({other}) > 0 THEN {other} ELSE [''] END) AS b FROM (SELECT *, unnest(range(1, len({own}) + 1)) AS i FROM heard)"
+
+
+@query("sim_name_idf", f"""{EDIT_PAIRS.replace(o.PREPARED, o.SOUNDS)}, heard AS (SELECT p.qid, p.tid, q.country, q.roman, t.roman AS t_roman FROM pair p JOIN sounding q ON q.entity_id = p.qid JOIN sounding t ON t.entity_id = p.tid),
+tokens AS ({_evidence('query', 'roman', 't_roman')} UNION ALL {_evidence('target', 't_roman', 'roman')}), wanted AS (SELECT DISTINCT a, b FROM tokens), {o.edits('wanted')},
+df AS (SELECT country, w, count(*) AS n FROM (SELECT country, unnest({o.long('core')}) AS w FROM prepared WHERE {o.QUERIES}) GROUP BY ALL),
+best AS (SELECT qid, tid, side, country, i, a, max(s) AS s FROM tokens JOIN edits USING (a, b) GROUP BY ALL),
+weighed AS (SELECT b.*, least(12, ln(1 + CAST((SELECT count(*) FROM s1) AS DOUBLE) / (1 + coalesce(n, 0)))) AS idf FROM best b LEFT JOIN df ON df.country = b.country AND df.w = b.a),
+per AS (SELECT qid, tid, side, sum(idf * s) / sum(idf) AS fuzzy, sum(CASE WHEN s = 1 THEN idf ELSE 0 END) / sum(idf) AS exact, arg_max(s, {{'w': idf, 'i': -i}}) AS rarest FROM weighed GROUP BY ALL)
+SELECT p.qid, p.tid, {', '.join(f'round(coalesce(max({v}) FILTER (WHERE side = {chr(39)}{k}{chr(39)}), 0), 6) AS {n}' for k in ('query', 'target') for v, n in (('fuzzy', f'name_idf_fuzzy_{k}'), ('exact', f'name_idf_exact_{k}'), ('rarest', f'name_rarest_{k}_similarity')))}
+FROM pair p LEFT JOIN per USING (qid, tid) GROUP BY p.qid, p.tid""")
 def sim_name_idf(spark, d):
-    return features.name_evidence(near_pairs(spark, d), sides(spark, d)[0])
+    found = features.name_evidence(near_pairs(spark, d), sides(spark, d)[0])
+    return found.select("qid", "tid", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
 
 
-@query("op_romanize")
+@query("op_romanize", o.records({"v": o.romanize("business_name")}))
 def op_romanize(spark, d):
-    f = F.pandas_udf(lambda s: s.map(P.romanize), "string")
-    return all_records(spark, d).select("entity_id", f("business_name").alias("v"))
+    return all_records(spark, d).select("entity_id", X.romanize(F.col("business_name")).alias("v"))
 
 
-@query("op_phonetic", None)
+@query("op_phonetic", o.prepared({"v": o.phonetic("core_c")}))
 def op_phonetic(spark, d):
-    f = F.pandas_udf(lambda s: s.map(P.phonetic), "string")
-    return B.prepare(all_records(spark, d)).select("entity_id", f("core_c").alias("v"))
+    return B.prepare(all_records(spark, d)).select("entity_id", X.phonetic(F.col("core_c")).alias("v"))
 
 
-@query("op_sound_words")
+@query("op_sound_words", f"WITH {o.SOUNDS} SELECT entity_id, {o.join('sound')} AS v FROM sounding")
 def op_sound_words(spark, d):
-    f = F.pandas_udf(lambda s: s.map(lambda x: "|".join(P.sound_words(x))), "string")
-    return all_records(spark, d).select("entity_id", f("business_name").alias("v"))
+    return B.prepare(all_records(spark, d)).select("entity_id", bar(F.col("sound")).alias("v"))
 
 
-@query("block_index_sound")
+@query("block_index_sound", f"WITH {o.SOUNDS} SELECT country, type, key, entity_id FROM ({o.keys(o.SOUND_KEYS, o.TARGETS, 3).replace('FROM prepared', 'FROM sounding')})")
 def block_index_sound(spark, d):
-    f = F.pandas_udf(lambda s: s.map(lambda x: [{"type": t, "key": k} for k, t in P.sound_keys(x)]), "array<struct<type:int,key:string>>")
-    rows = all_records(spark, d).filter("entity_id NOT LIKE 'S1-%'").select("country", "entity_id", F.explode(f("business_name")).alias("k"))
-    return rows.select("country", "k.type", "k.key", "entity_id").filter(F.octet_length("key") >= 3)
+    return B._postings(sides(spark, d)[1], B.sound_blocks(), 3)
 
 
 # blocking and retrieval
@@ -210,40 +239,65 @@ def block_stats(spark, d):
     return B.block_sizes(B.enhanced_postings(sides(spark, d)[1]), 12_000)
 
 
-BASE_SQL = f"WITH RECURSIVE {o.PREPARED}, postings AS ({o.BASE_KEYS}), lookups AS ({o.BASE_LOOKUPS}), sizes AS ({o.sizes('postings', BASE['cap'])}), {o.selected_base(BASE['per_family'], BASE['budget'])}"
-ENHANCED_SQL = f"WITH {o.PREPARED}, postings AS ({o.ENHANCED_KEYS}), lookups AS ({o.ENHANCED_LOOKUPS}), sizes AS ({o.sizes('postings', ENHANCED['cap'])}), blocks AS ({o.selected(ENHANCED['per_type'], ENHANCED['budget'])})"
-REVERSE_SQL = f"WITH {o.PREPARED}, postings AS ({o.REFERENCE_KEYS}), lookups AS ({o.REVERSE_LOOKUPS}), sizes AS ({o.sizes('postings', REVERSE['cap'])}), blocks AS ({o.selected(REVERSE['per_type'], REVERSE['budget'])})"
+def _base(c: dict) -> str:
+    return f"WITH RECURSIVE {o.PREPARED}, postings AS ({o.BASE_KEYS}), lookups AS ({o.BASE_LOOKUPS}), sizes AS ({o.sizes('postings', c['cap'])}), {o.selected_base(c['per_family'], c['budget'])}"
 
 
-@query("block_select_base", f"{BASE_SQL} SELECT qid, country, type, key, n FROM blocks")
-def block_select_base(spark, d):
-    q, t = sides(spark, d)
-    return B.select_base(B.base_lookups(q), B.block_sizes(B.base_postings(t), BASE["cap"]), BASE["per_family"], BASE["budget"])
+def _sorted(keys: str, lookups: str, c: dict) -> str:
+    return f"WITH {o.PREPARED}, postings AS ({keys}), lookups AS ({lookups}), sizes AS ({o.sizes('postings', c['cap'])}), blocks AS ({o.selected(c['per_type'], c['budget'])})"
 
 
-@query("block_select_enhanced", f"{ENHANCED_SQL} SELECT qid, country, type, key, n FROM blocks")
-def block_select_enhanced(spark, d):
-    q, t = sides(spark, d)
-    return B.select_sorted(B.enhanced_lookups(q).distinct(), B.block_sizes(B.enhanced_postings(t), ENHANCED["cap"]), ENHANCED["per_type"], ENHANCED["budget"])
+def _ranked(blocks: str, kinds: dict, weights: tuple, c: dict) -> str:
+    return f"{blocks}, hits AS ({o.hits(kinds)}), first AS ({o.top('hits', c['first'])}) {o.reranked('first', weights, c['k'])}"
 
 
-CAND = f"{BASE_SQL}, hits AS ({o.hits(K.BASE_WEIGHTS)}), candidates AS ({o.top('hits', BASE['k'])})"
+def _candidates(c: dict) -> str:
+    return f"{_base(c)}, hits AS ({o.hits(K.BASE_WEIGHTS)}), candidates AS ({o.top('hits', c['k'])})"
 
 
-@query("retrieve_base", f"{CAND} SELECT qid, tid, score, rank FROM candidates")
-def retrieve_base(spark, d):
-    return retrieval.retrieve_base(*sides(spark, d), **BASE)
+CAND = _candidates(BASE)
 
 
-@query("retrieve_enhanced", f"{ENHANCED_SQL}, hits AS ({o.hits(K.ENHANCED_WEIGHTS)}), first AS ({o.top('hits', ENHANCED['first'])}) {o.reranked('first', (12, 8, 8, 12), ENHANCED['k'])}")
-def retrieve_enhanced(spark, d):
-    return retrieval.retrieve_enhanced(*sides(spark, d), **ENHANCED)
+def _retrieval(suffix: str, b: dict, e: dict, r: dict) -> None:
+    """The queries of retrieval under one set of caps."""
+    forward, back = _sorted(o.ENHANCED_KEYS, o.ENHANCED_LOOKUPS, e), _sorted(o.REFERENCE_KEYS, o.REVERSE_LOOKUPS, r)
 
+    @query(f"block_select_base{suffix}", f"{_base(b)} SELECT qid, country, type, key, n FROM blocks")
+    def block_select_base(spark, d):
+        q, t = sides(spark, d)
+        return B.select_base(B.base_lookups(q), B.block_sizes(B.base_postings(t), b["cap"]), b["per_family"], b["budget"])
 
-@query("reverse_retrieve", f"{REVERSE_SQL}, hits AS ({o.hits(K.REVERSE_WEIGHTS)}), first AS ({o.top('hits', REVERSE['first'])}) {o.reranked('first', (15, 10, 10, 20), REVERSE['k'])}")
-def reverse_retrieve(spark, d):
-    q, t = sides(spark, d)
-    return retrieval.reverse_retrieve(t, q, **REVERSE)
+    @query(f"block_select_enhanced{suffix}", f"{forward} SELECT qid, country, type, key, n FROM blocks")
+    def block_select_enhanced(spark, d):
+        q, t = sides(spark, d)
+        return B.select_sorted(B.enhanced_lookups(q).distinct(), B.block_sizes(B.enhanced_postings(t), e["cap"]), e["per_type"], e["budget"])
+
+    @query(f"retrieve_base{suffix}", f"{_candidates(b)} SELECT qid, tid, score, rank FROM candidates")
+    def retrieve_base(spark, d):
+        return retrieval.retrieve_base(*sides(spark, d), **b)
+
+    @query(f"retrieve_enhanced{suffix}", _ranked(forward, K.ENHANCED_WEIGHTS, (12, 8, 8, 12), e))
+    def retrieve_enhanced(spark, d):
+        return retrieval.retrieve_enhanced(*sides(spark, d), **e)
+
+    @query(f"reverse_retrieve{suffix}", _ranked(back, K.REVERSE_WEIGHTS, (15, 10, 10, 20), r))
+    def reverse_retrieve(spark, d):
+        q, t = sides(spark, d)
+        return retrieval.reverse_retrieve(t, q, **r)
+
+
+_retrieval("", BASE, ENHANCED, REVERSE)
+_retrieval("_tight", TIGHT_BASE, TIGHT_ENHANCED, TIGHT_REVERSE)
+
+
+def retrieve_base(spark, d):
+    return QUERIES["retrieve_base"](spark, d)
+
+
+@query("retrieve_sound")
+def retrieve_sound(spark, d):
+    """Enhanced candidates with phonetic blocks on both sides."""
+    return retrieval.retrieve_enhanced(*sides(spark, d), more=B.sound_blocks, **ENHANCED)
 
 
 @query("name_frequency", f"WITH {o.PREPARED} SELECT country, core_c, count(*) AS frequency FROM prepared WHERE {o.TARGETS} AND core_c <> '' GROUP BY ALL")
@@ -256,6 +310,12 @@ def label_join(spark, d):
     return baseline.labelled(retrieve_base(spark, d), fx.truth(spark, d)).select("qid", "tid", "label")
 
 
+@query("membership_flags", f"{CAND} SELECT t.qid, t.tid, 1 AS label, CAST(c.tid IS NOT NULL AS INTEGER) AS in_baseline FROM truth t LEFT JOIN candidates c USING (qid, tid)")
+def membership_flags(spark, d):
+    truth = fx.truth(spark, d)
+    return baseline.labelled(truth, truth, retrieve_base(spark, d)).select("qid", "tid", "label", "in_baseline")
+
+
 # features, scores, rules
 def _rounded(df, keys, names):
     return df.select(*keys, *[F.round(F.col(n), 6).alias(n) for n in names])
@@ -312,18 +372,45 @@ def candidate_lists(spark, d):
 @query("feature_full")
 def feature_full(spark, d):
     s1, s2, s3 = fx.sources(spark, d)
-    return baseline.candidates_and_features(s1, s2.unionByName(s3), **ENHANCED)
+    found = baseline.candidates_and_features(s1, s2.unionByName(s3), **ENHANCED)
+    return found.select("qid", "tid", "score", "rank", *[F.round(c, 6).alias(c) for c in baseline.ALL])
+
+
+_TWO = {"query": ("a", "b"), "target": ("b", "a")}
+
 
+def _gone(side: str) -> str:
+    u, v = _TWO[side]
+    return f"list_filter({u}, lambda w: NOT list_contains({v}, w))"
 
-@query("feat_reference_numbers")
+
+_NUMBERS = {
+    "first_digits_length_change": "CASE WHEN f <> '' AND g <> '' THEN CAST(strlen(g) - strlen(f) AS DOUBLE) ELSE 0 END", "first_digits_length_ratio": o.ratio("f", "g"),
+    "first_digits_containment": "CAST(f <> '' AND g <> '' AND (contains(f, g) OR contains(g, f)) AS DOUBLE)",
+    "first_digits_subsequence": "CAST((f <> '' AND strlen(f) < strlen(g) AND regexp_matches(g, regexp_replace(f, '([0-9])', '\\1.*', 'g'))) OR (g <> '' AND strlen(g) < strlen(f) AND regexp_matches(f, regexp_replace(g, '([0-9])', '\\1.*', 'g'))) AS DOUBLE)",
+    "first_numeric_distance": "CASE WHEN f <> '' AND g <> '' THEN ln(1 + least(abs(CAST(f AS DOUBLE) - CAST(g AS DOUBLE)), 1e12)) ELSE 0 END",
+    "first_numeric_one_apart": "CAST(f <> '' AND g <> '' AND abs(try_cast(f AS DOUBLE) - try_cast(g AS DOUBLE)) = 1 AS DOUBLE)",
+    **{f"digit_omission_{k}": f"CAST(len(list_filter({_gone(k)}, lambda w: len(list_filter({v[1]}, lambda x: strlen(x) < strlen(w) AND regexp_matches(w, regexp_replace(x, '([0-9])', '\\1.*', 'g')))) > 0)) AS DOUBLE)" for k, v in _TWO.items()},
+    **{f"unmatched_{n}_{k}_numbers": f"CAST(len(list_filter({_gone(k)}, lambda w: strlen(w) {c} 3)) AS DOUBLE)" for n, c in (("long", ">="), ("short", "<")) for k in _TWO},
+}
+
+
+@query("feat_reference_numbers", f"{PAIRS}, x AS (SELECT qid, tid, first AS f, t_first AS g, {o.digit_runs('business_address')} AS a, {o.digit_runs('t_address')} AS b FROM pair) SELECT qid, tid, {', '.join(f'round({v}, 6) AS {k}' for k, v in _NUMBERS.items())} FROM x")
 def feat_reference_numbers(spark, d):
     return near_pairs(spark, d).select("qid", "tid", *[F.round(c, 6).alias(k) for k, c in features.reference_numbers().items()])
 
 
-@query("score_trees")
+TREES = models.Trees(20, 0.0, 1.0, -0.5, [([1, 4], [0.6, 0.5], [-2.0, 0.5, 0.25, 3.0]), ([17, 14], [0.5, 0.5], [0.0, -1.0, 1.0, 0.25])])
+
+
+def _leaf(which, border, leaves) -> str:
+    at = " + ".join(f"{1 << k} * CAST(CAST(round({features.LEGACY[f]}, 6) AS FLOAT) > CAST({b} AS FLOAT) AS INTEGER)" for k, (f, b) in enumerate(zip(which, border, strict=True)))
+    return f"list_extract({leaves}::DOUBLE[], 1 + {at})"
+
+
+@query("score_trees", f"{CAND}, x AS ({o.LEGACY_SQL}) SELECT qid, tid, round({' + '.join(_leaf(*t) for t in TREES.trees)} + {TREES.bias}::DOUBLE, 6) AS logit FROM x")
 def score_trees(spark, d):
-    model = models.Trees(20, 0.0, 1.0, -0.5, [([1, 4], [0.6, 0.5], [-2.0, 0.5, 0.25, 3.0]), ([17, 14], [0.5, 0.5], [0.0, -1.0, 1.0, 0.25])])
-    return models.tree_score(feat_legacy(spark, d), model, features.LEGACY).select("qid", "tid", F.round("logit", 6).alias("logit"))
+    return models.tree_score(feat_legacy(spark, d), TREES, features.LEGACY).select("qid", "tid", F.round("logit", 6).alias("logit"))
 
 
 @query("train_logistic")
@@ -433,6 +520,29 @@ def grid_scale_shift(spark, d):
     return decide.scale_shift(scores(spark, d), truths(spark, d), SCALES, SHIFTS, TIE)
 
 
+RULE_THRESHOLDS = [0.65, 0.75, 0.85, 0.95]
+
+
+def _rules_sql(p: str, t: str, bits: str) -> str:
+    on = lambda k: f"({bits} & {k}) <> 0"
+    return (f"({p} >= {t} OR ({on(1)} AND core_equal > 0.5 AND target_address_missing > 0.5 AND name_dice > 0.7::DOUBLE) OR ({on(2)} AND script_mismatch > 0.5 AND address_dice >= 0.72::DOUBLE AND address_overlap >= 0.72::DOUBLE AND number_conflict < 0.5))"
+            f" AND NOT ({on(4)} AND number_conflict > 0.5 AND name_dice < 0.7::DOUBLE AND name_overlap < 0.7::DOUBLE)")
+
+
+@query("grid_rules", f"""{CAND}, x AS ({o.LEGACY_SQL}), y AS (SELECT x.*, {o.logistic_sql()} AS p, CAST(t.tid IS NOT NULL AS INTEGER) AS label FROM x LEFT JOIN truth t USING (qid, tid)),
+cells AS (SELECT threshold, rules FROM (SELECT unnest({RULE_THRESHOLDS}::DOUBLE[]) AS threshold) CROSS JOIN (SELECT CAST(unnest(range(8)) AS INTEGER) AS rules)),
+per AS (SELECT threshold, rules, qid, sum(label) AS tp, count(*) AS n FROM cells JOIN y ON {_rules_sql('p', 'threshold', 'rules')} GROUP BY ALL),
+every AS (SELECT 'S1-' || doc_id AS qid, CAST(doc_id % 5 <> 0 AS INTEGER) + CAST(doc_id % 3 <> 0 AS INTEGER) AS truth FROM documents)
+SELECT threshold, rules, round(avg({o.f_half('coalesce(tp, 0)', 'coalesce(n, 0) - coalesce(tp, 0)', 'truth')}), 6) AS macro FROM cells CROSS JOIN every LEFT JOIN per USING (threshold, rules, qid) GROUP BY threshold, rules""")
+def grid_rules(spark, d):
+    s1, s2, s3 = fx.sources(spark, d)
+    q, t = B.prepare(s1), B.prepare(s2.unionByName(s3))
+    both = features.pairs(retrieval.retrieve_base(q, t, **BASE), q, t)
+    x = both.select("qid", "tid", *[c.alias(k) for k, c in features.legacy().items()]).withColumn("score", models.logistic())
+    counts = truths(spark, d).select(F.concat(F.lit("S1-"), F.col("q").cast("string")).alias("q"), "truth")
+    return decide.rule_grid(baseline.labelled(x, fx.truth(spark, d)).withColumn("q", F.col("qid")), counts, RULE_THRESHOLDS)
+
+
 def named(spark, d, threshold: float):
     s = scores(spark, d).filter(F.col("score") >= threshold)
     links = s.select(F.concat(F.lit("S1-"), F.col("q").cast("string")).alias("qid"), F.concat(F.lit("S"), F.col("source").cast("string"), F.lit("-"), F.col("t").cast("string")).alias("tid"))
@@ -603,15 +713,50 @@ def round_trip_tsv(spark, d):
     return tsv.read_tsv(spark, place, skip_malformed=False)
 
 
-@query("match_trees")
-def match_trees(spark, d):
-    """Two boosted stages on enhanced candidates: fitted here, then decided by expected F0.5."""
+# training and enhanced matching
+def _entities(spark, d) -> dict[str, int]:
+    """Sizes of the splits: half of source 1 trains the pair model, the rest is parted in three."""
+    n = fx.sources(spark, d)[0].count()
+    return {"train": n // 2, "context": n // 4, "tune": n // 8, "audit": n - n // 2 - n // 4 - n // 8}
+
+
+def _trained(spark, d):
+    """The stages of training, each written and read by the next: pairs, pair model, reference features, second model."""
     from ..sources.workspace import workspace
+    from . import training
 
     s1, s2, s3 = fx.sources(spark, d)
-    place = workspace(spark, "pairs")
-    baseline.labelled(baseline.candidates_and_features(s1, s2.unionByName(s3), **(ENHANCED | {"k": 8})), fx.truth(spark, d)).write.parquet(place)
-    pairs = spark.read.parquet(place)
-    pair_model, context_model = baseline.train_two_stage(pairs, trees=3, depth=2)
-    found = baseline.match_trees(pairs, pair_model, context_model)
-    return found.select("qid", "tid", F.round("score", 6).alias("score"), "chosen")
+    targets, place = s2.unionByName(s3), workspace(spark, "training")
+    training.export(spark, s1, targets, fx.truth(spark, d), f"{place}/pairs", _entities(spark, d), ENHANCED, BASE)
+    pair_model, _ = training.train_pair(spark, f"{place}/pairs", trees=3, depth=2)
+    training.prepare_reference(spark, f"{place}/pairs", f"{place}/full", s1, targets, pair_model, caps=REVERSE)
+    context_model, _ = training.train_context(spark, f"{place}/full", trees=2, depth=2)
+    return place, pair_model, context_model
+
+
+@query("feature_reference")
+def feature_reference(spark, d):
+    """Context and reference features (107 to 155) of enhanced candidates, scored by two fixed trees."""
+    from ..sources.workspace import kept
+
+    q, t = sides(spark, d)
+    pairs = kept(features.pair_features(retrieval.retrieve_enhanced(q, t, **ENHANCED), q, t), "pairs")
+    at = {n: i for i, n in enumerate(baseline.ALL)}
+    model = models.Trees(len(baseline.ALL), 0.0, 1.0, -5.0, [([at["core_dice"], at["address_normalized_dice"]], [0.6, 0.5], [-6.0, 2.0, 1.0, 7.0]), ([at["name_fuzzy_query"], at["numbers_exact"]], [0.7, 0.5], [-1.0, 1.5, 0.5, 2.5])])
+    full = baseline.second_stage(pairs, q, t, model, **REVERSE)
+    return full.select("qid", "tid", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in [*baseline.CONTEXT, *features.REFERENCE]])
+
+
+@query("match_trees")
+def match_trees(spark, d):
+    """From tab-separated sources to both lists: two boosted stages trained here, candidates of all entities, context
+    and competing references, expected-F0.5 sets, checked and published, read back."""
+    from . import training
+
+    place, pair_model, context_model = _trained(spark, d)
+    training.package(spark, f"{place}/package", pair_model, context_model, {"rule": "expected_f"})
+    for k, rows in enumerate(fx.sources(spark, d), 1):
+        tsv.write_tsv(rows, f"{place}/test_source{k}.tsv")
+    baseline.predict_trees(spark, place, "test", f"{place}/out", f"{place}/package", reverse=REVERSE, **ENHANCED)
+    lists = {c: tsv.read_tsv(spark, f"{place}/out/{f}", tsv.T.StructType.fromDDL(f"source1_entity_id string, {c} string"), skip_malformed=False) for f, c in (("matching_results.tsv", "matched_entity_ids"), ("candidate_pairs.tsv", "candidate_entity_ids"))}
+    return lists["matched_entity_ids"].join(lists["candidate_entity_ids"], "source1_entity_id")

@@ -45,6 +45,13 @@ def semi_targets(targets: DataFrame, wanted: DataFrame, key: str = "entity_id")
     return targets.join(wanted.select(key).distinct(), key, "left_semi")
 
 
+def lookup(records: DataFrame, ids: DataFrame, key: str = "entity_id") -> DataFrame:
+    """The record of every id of ``ids``, each once; an id without a record fails the query."""
+    found = ids.select(key).distinct().join(records.withColumn("__there", F.lit(True)), key, "left")
+    there = F.when(F.col("__there"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no record of "), F.coalesce(F.col(key), F.lit("null")))).cast("boolean"))
+    return found.filter(there).drop("__there")
+
+
 def prefix(df: DataFrame, n: int, key: str = "entity_id") -> DataFrame:
     return df.orderBy(key).limit(n)
 

@@ -13,6 +13,7 @@ def test_sql(spark, sf, name):
     same(spark, sf, Q.QUERIES[name], Q.SQL[name])
 
 
-@pytest.mark.parametrize("name", ["sim_edit_osa", "sim_fuzzy", "op_romanize", "op_sound_words", "block_index_sound", "score_trees"])
-def test_rows(spark, sf, name):
-    assert Q.QUERIES[name](spark, sf).count() > 0
+def test_queries_without_sql(spark, sf):
+    """Their values are tested in test_features and test_operators; here they run as registered."""
+    assert Q.QUERIES["retrieve_sound"](spark, sf).count() >= Q.QUERIES["retrieve_enhanced"](spark, sf).count()
+    assert set(Q.QUERIES) - set(Q.SQL) == {"retrieve_sound", "feature_full", "feature_reference", "train_logistic", "train_trees", "match_trees"}

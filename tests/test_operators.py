@@ -9,8 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinlink.operators import blocking, context, decide, evaluate, features, models, sampling, validate
-from kinlink.plans.baseline import Sealed
+from kinlink.operators import blocking, context, decide, evaluate, features, models, retrieval, sampling, validate
+from kinlink.plans import baseline, training
 from kinlink.sources import tsv
 
 
@@ -154,13 +154,18 @@ def test_clean_lists_have_no_violation(spark):
     assert validate.violations(m, c, e).count() == 0
 
 
-def test_split_is_disjoint_and_sealed(spark):
+def test_split_is_disjoint_and_sealed(spark, tmp_path):
     df = spark.range(100).withColumnRenamed("id", "k")
     parts = sampling.split(df, "k", {"train": 50, "audit": 20}, 1).groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in parts} == {"train": 50, "audit": 20}
-    s = Sealed()
+    at = str(tmp_path / "seal")
+    s = training.Sealed(spark, at)
+    s.choose({"t": 0})
     s.choose({"t": 1})
+    with pytest.raises(ValueError):
+        s.audit({"t": 0})
     s.audit({"t": 1})
+    s = training.Sealed(spark, at)  # a later session knows
     with pytest.raises(PermissionError):
         s.audit({"t": 1})
     with pytest.raises(PermissionError):
@@ -170,5 +175,93 @@ def test_split_is_disjoint_and_sealed(spark):
 
 
 def test_feature_lists():
-    assert (len(features.LEGACY), len(features.EXTENDED), len(features.ADVANCED)) == (20, 56, 31)
-    assert set(features.KERNEL) | set(features.LEGACY) | set(features.EXTENDED) == {*features.LEGACY, *features.EXTENDED, *features.ADVANCED}
+    assert (len(features.LEGACY), len(features.EXTENDED), len(features.ADVANCED), len(baseline.CONTEXT), len(features.REFERENCE)) == (20, 56, 31, 23, 26)
+    assert len(baseline.FULL) == 156 == len(set(baseline.FULL)) and set(features.KERNEL) < set(baseline.ALL)
+
+
+def test_lookup_names_what_is_missing(spark):
+    df = spark.createDataFrame([("S2-1", "a"), ("S2-2", "b")], "entity_id string, business_name string")
+    ids = lambda *v: spark.createDataFrame([(x,) for x in v], "entity_id string")
+    assert [r["business_name"] for r in tsv.lookup(df, ids("S2-2", "S2-2")).collect()] == ["b"]
+    with pytest.raises(Exception, match="no record of S2-9"):
+        tsv.lookup(df, ids("S2-1", "S2-9")).collect()
+
+
+def test_headers(spark, tmp_path):
+    cols = ["source1_entity_id", "matched_entity_ids"]
+    for name, text, want in (("a", "source1_entity_id\tmatched_entity_ids\nS1-1\t\n", set()), ("b", "source1_entity_id,matched_entity_ids\n", {"match_header", "match_commas_for_tabs"}), ("c", "S1-1\tS2-1\n", {"match_header"}), ("d", "", {"match_header"})):
+        (tmp_path / name).write_text(text)
+        assert {r["rule"] for r in validate.header_violations(spark, str(tmp_path / name), cols, "match").collect()} == want
+
+
+def test_shuffle_and_context_negatives(spark):
+    df = spark.range(50).withColumnRenamed("id", "k")
+    one, two = ([r["k"] for r in sampling.shuffled(df, "k", s).collect()] for s in (1, 2))
+    assert sorted(one) == sorted(two) == list(range(50)) and one != two and one == [r["k"] for r in sampling.shuffled(df.repartition(3), "k", 1).collect()]
+    rows = spark.createDataFrame([(1, -9.0, 5), (0, -7.0, 5), (0, -9.0, 64), (0, -8.0, 5)], "label int, logit double, number bigint")
+    assert sampling.fewer_context_negatives(rows).count() == 3
+
+
+def test_trees_stop_and_go_on(spark):
+    r = np.random.default_rng(1)
+    x = r.random((800, 2)).astype(np.float32)
+    y = (x[:, 0] > 0.5).astype(int)
+    noisy = np.where(r.random(800) < 0.3, 1 - y, y)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0].astype(float), "b": x[:, 1].astype(float), "label": noisy, "half": np.arange(800) % 2}))
+    fit, held = df.filter("half = 0"), df.filter("half = 1")
+    short = models.train_trees(fit, ["a", "b"], trees=12, depth=2, rate=0.9, validation=held, wait=2)
+    assert 0 < len(short.trees) < 12
+    on = models.train_trees(fit, ["a", "b"], trees=2, depth=2, start=short)
+    assert len(on.trees) == len(short.trees) + 2 and np.allclose(models.Trees(2, 0, 1.0, on.bias, on.trees[: len(short.trees)]).score(x), short.score(x))
+    assert models.parity(df.limit(50), short, ["a", "b"]) <= 1e-10
+    with pytest.raises(ValueError):
+        models.train_trees(fit, ["a"], trees=1, start=short)
+
+
+def test_logistic_text():
+    weights = [round(0.1 * i, 3) for i in range(20)]
+    assert models.load_logistic(models.dump_logistic(weights, 0.83, 5)) == (weights, 0.83, 5)
+    with pytest.raises(ValueError):
+        models.load_logistic("0.5 0\n1 2 3\n")
+
+
+def test_training_stages_and_prediction(spark, sf, tmp_path):
+    """Export, augment, expand, refresh, both models, package, prediction from files: rows and splits hold."""
+    from kinlink.plans import fixtures as fx
+
+    s1, s2, s3 = (x.filter("CAST(substr(entity_id, 4) AS INT) < 40") for x in fx.sources(spark, sf))
+    targets, truth = s2.unionByName(s3), fx.truth(spark, sf).filter("CAST(substr(qid, 4) AS INT) < 40")
+    at = lambda n: str(tmp_path / n)
+    tight = {"cap": 60, "per_type": 3, "budget": 250, "first": 30, "k": 10}
+    training.export(spark, s1, targets, truth, at("one"), {"train": 12, "context": 8, "tune": 8, "audit": 4}, tight)
+    pairs, queries, links = training.read_stage(spark, at("one"))
+    assert queries.count() == 32 and set(baseline.ALL) < set(pairs.columns) and links.filter("retrieved = 1").count() == pairs.filter("label = 1").count()
+    with pytest.raises(ValueError):
+        training.read_stage(spark, at("one"), baseline.FULL)
+    training.expand(spark, at("one"), at("two"), s1, targets, truth, 5, caps=tight)
+    more, q2, _ = training.read_stage(spark, at("two"))
+    assert q2.count() == 37 and q2.exceptAll(queries).select("split").distinct().collect()[0][0] == "train" and pairs.exceptAll(more).count() == 0
+    training.refresh(spark, at("one"), at("three"), s1, targets, caps=tight)
+    again = training.read_stage(spark, at("three"))[0]
+    both = pairs.select("qid", "tid", *baseline.ALL).exceptAll(again.select("qid", "tid", *baseline.ALL))
+    assert again.count() == pairs.count() and both.count() == 0
+    short = [*features.LEGACY, *features.EXTENDED]
+    training._stage(spark, at("short"), pairs.drop(*features.ADVANCED), queries, truth, short)
+    training.augment(spark, at("short"), at("long"), s1, targets)
+    assert training.read_stage(spark, at("long"))[0].select("qid", "tid", *baseline.ALL).exceptAll(pairs.select("qid", "tid", *baseline.ALL)).count() == 0
+    pair_model, said = training.train_pair(spark, at("one"), trees=3, depth=2)
+    assert said["trees"] <= 3 and said["macro"] > 0.5
+    training.prepare_reference(spark, at("one"), at("full"), s1, targets, pair_model)
+    context_model, said = training.train_context(spark, at("full"), trees=2, depth=2)
+    assert said["macro"] > 0.5 and models.importance(context_model, baseline.FULL)
+    training.package(spark, at("package"), pair_model, context_model, {"rule": "expected_f"})
+    for k, rows in enumerate((s1, s2, s3), 1):
+        tsv.write_tsv(rows, at(f"test_source{k}.tsv"))
+    made = baseline.predict_trees(spark, str(tmp_path), "test", at("out"), at("package"), more=blocking.sound_blocks, **tight)
+    assert set(made) == {"matching_results.tsv", "candidate_pairs.tsv"}
+    lists = tsv.read_tsv(spark, at("out/matching_results.tsv"), tsv.TRUTH)
+    assert lists.count() == 40 and lists.filter("matched_entity_ids <> ''").count() > 20
+    baseline.predict(spark, str(tmp_path), "test", at("plain"), n=10)
+    assert tsv.read_tsv(spark, at("plain/matching_results.tsv"), tsv.TRUTH).count() == 10
+    recall, missed = training.diagnose(retrieval.retrieve_base(blocking.prepare(s1), blocking.prepare(targets)), truth, s1, [1, 20])
+    assert recall.count() == 2 and missed.columns[:2] == ["qid", "tid"]
