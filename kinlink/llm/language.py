@@ -6,8 +6,9 @@ the escapes from the longer ones (method C: escape d / (n + d), d distinct succe
 below order 0 stands 1/256. A text's language is the one that codes all of its bytes in the fewest
 bits. Lengths are whole 1/1024 bits, so sums are exact.
 
-The sample: per language an equal share of ``train_bytes``, chosen by hash of the key, in expectation
-(documented bound; the trees then have at most ``train_bytes`` contexts). Every text is scored whole.
+The sample: per language an equal share of ``train_bytes``, chosen by hash of key and text in pieces of
+``PIECE`` bytes, in expectation, and the first ``LEAST`` texts by hash, so that every labelled language is
+learned and no single text fills the share (documented bounds). Every text is scored whole.
 
 Defined results: null texts, empty texts and texts without a letter are ``und`` with score 0, and so is
 everything if nothing could be learned; equal code lengths go to the first language by code point;
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,8 @@ from .hashed import chunks
 from .shared import table
 
 TRAIN_BYTES = 4_000_000
+#: Texts are drawn in pieces of so many bytes; every labelled language has at least ``LEAST`` of them, or all its texts.
+PIECE, LEAST = 1 << 14, 32
 UNIT = 1024
 #: Lower case for A-Z, a space for every other ASCII byte; bytes of other characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -51,7 +54,7 @@ def _count(batches: Iterator) -> Iterator:
         by: dict[str, list] = {}
         for lang, text in zip(rows["lang"], rows["text"], strict=True):
             if text:
-                by.setdefault(lang, []).append(grams(text.encode("utf-8", "replace").translate(FOLD)))
+                by.setdefault(lang, []).append(grams(text.translate(FOLD)))
         for lang, parts in by.items():
             g, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g)), "gram": pa.array(g.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
@@ -131,16 +134,24 @@ class Trees:
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_bytes: int = TRAIN_BYTES) -> Trees:
     """Count the trees of all languages in ``docs`` (rows with null language or text don't count)."""
-    known = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    langs = sorted(k for k, n in sizes.items() if n)
+    known = docs.select(F.xxhash64(F.lit("language"), F.col(key).cast("string"), text).alias("h"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"))
+    known = known.filter("lang IS NOT NULL AND octet_length(text) > 0")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.octet_length("text").cast("bigint")).alias("n")).collect()}
+    langs = sorted(sizes)
     if not langs:
         return _nothing()
-    share = F.lit(None).cast("double")
-    for k in langs:
-        share = F.when(F.col("lang") == k, min(1.0, train_bytes / len(langs) / sizes[k])).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("key").cast("string")), F.lit(1 << 30)) < share * float(1 << 30)
-    counts = known.filter(draw).select("lang", "text").mapInArrow(_count, "lang string, gram bigint, n bigint")
+    rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, train_bytes / len(langs) / sizes[k]))])
+    # pieces by place: only the drawn ones are cut out of their text
+    places = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / PIECE).cast("int"))
+    drawn = F.filter(places, lambda i: F.pmod(F.xxhash64("h", i), F.lit(1 << 30)) < F.col("rate") * float(1 << 30))
+    sized = known.withColumns({"rate": F.element_at(rate, F.col("lang")), "places": places})
+    by_rate = sized.select("lang", "text", "h", F.explode(drawn).alias("i"))
+    # at least so many pieces of every language, however rare: the first by hash of the first pieces of its texts
+    few = Window.partitionBy("lang").orderBy("h")
+    first = known.withColumn("n", F.row_number().over(few)).filter(F.col("n") <= LEAST).select("lang", "text", "h", F.lit(0).alias("i"))
+    piece = F.substring("text", F.col("i") * PIECE + 1, F.lit(PIECE))
+    chosen = by_rate.unionByName(first).select("lang", "h", "i", piece.alias("text")).groupBy("lang", "h", "i").agg(F.min("text").alias("text"))
+    counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram bigint, n bigint")
     rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     frame = rows.to_pandas().sort_values(["lang", "gram"])
     langs = sorted(frame["lang"].unique())
