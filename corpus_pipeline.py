@@ -2,7 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of ``docs``; the last
 one repeats documents as the mix takes them. Null and empty texts have no language and go in the
-first stage; empty tables pass through all stages; extra columns are kept.
+first stage; of repeated rows, and of documents that tie as near-duplicates, one stays after the second;
+very long texts are read whole by every stage; empty tables pass through all stages; extra columns are
+kept whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from kinlink.llm.shared import scratch, stored, table
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go; a missing label is filled with the prediction."""
     trees = language.train(docs)
+    if not trees.langs:  # no label to learn from: only texts without a letter go
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = language.identified(docs, trees).filter("lang_pred <> 'und'")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 

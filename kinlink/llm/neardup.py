@@ -279,7 +279,8 @@ def _foreign_links(members: DataFrame, labels: DataFrame, sets: DataFrame, limit
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, h (xxhash64 of the text), n_shingles, component_id, kept."""
+    """One row per document: doc_id, h (xxhash64 of the text), n_shingles, component_id, kept; comp tells
+    components without any id apart."""
     spark = docs.sparkSession
     limits = bounds(percent)
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text"))
@@ -311,15 +312,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     named = stored(named.filter("n > 1 OR comp IS NOT NULL").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("comp", "node").alias("comp")), "near-named")
     own = F.when(F.col("comp").isNull(), F.col("doc_id")).when(F.col("comp") < NO_ID, F.col("comp"))
     out = signed.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    return out.select("doc_id", "h", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "h", "n_shingles", own.alias("component_id"), "comp").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = DROP, **options) -> DataFrame:
-    """``docs`` less all but one document of each component, columns unchanged."""
-    gone = near_duplicates(docs, key, text, percent, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__near_id"), F.col("h").alias("__near_h")).distinct()
-    gone = stored(gone, "near-gone")
-    same = F.col(key).eqNullSafe(F.col("__near_id")) & (F.xxhash64(text) == F.col("__near_h"))
-    return docs.join(gone, same, "left_anti")
+    """``docs`` less all but one row of each component, columns unchanged. The document of the smallest id
+    stays; in a component without ids the text of the smallest hash; of rows with the same id and text the
+    one that comes first by a hash of all its columns. Rows without a word stay."""
+    found = near_duplicates(docs, key, text, percent, **options).filter("n_shingles > 0")
+    seen = stored(found.groupBy("doc_id", "h", "component_id", "kept", "comp").agg(F.count("*").alias("n")), "near-verdicts")
+    nameless = seen.filter("doc_id IS NULL AND component_id IS NULL")
+    first = nameless.groupBy("comp").agg(F.min("h").alias("first"))
+    gone = seen.filter(~F.col("kept")).select("doc_id", "h").unionByName(nameless.join(first, "comp").filter("h <> first").select("doc_id", "h"))
+    gone = stored(gone.select(F.col("doc_id").alias("__near_id"), F.col("h").alias("__near_h")).distinct(), "near-gone")
+    name, hashed = F.col(f"`{key}`").cast("bigint"), F.xxhash64(F.col(f"`{text}`"))
+    same = name.eqNullSafe(F.col("__near_id")) & (hashed == F.col("__near_h"))
+    left = docs.join(gone, same, "left_anti")
+    again = stored(seen.filter("kept AND n > 1").select(F.col("doc_id").alias("__near_id"), F.col("h").alias("__near_h")), "near-again")
+    if again.isEmpty():
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = left.join(again, same, "left_semi").groupBy(name.alias("__near_id"), hashed.alias("__near_h")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__near_row"))
+    return left.join(again, same, "left_anti").unionByName(once.select("__near_row.*"))
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

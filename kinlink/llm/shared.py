@@ -17,7 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set,
-    else (tests, a single machine) a temporary folder that is then set as checkpoint folder."""
+    else, in a local session, a temporary folder that is then set as checkpoint folder; a cluster
+    without one is refused, as its machines don't share such a folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc.getCheckpointDir()
     if known:
         return os.path.dirname(known.rstrip("/"))
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="kinlink-")
     sc.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
