@@ -36,6 +36,8 @@ from .shared import scratch, table
 
 END, BEGIN = b" end", b" begin"  # no word holds a space
 GROUP = 12 << 20
+#: Text whose words and pairs one shard, and so one task at a time, may hold. Counts have 64 bits.
+SHARD_BYTES = 256 << 20
 HOT = 64
 
 
@@ -145,8 +147,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     """Count ``docs`` and store the model."""
     spark = docs.sparkSession
     uri = scratch(spark, "lm")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col(text).cast("binary").alias("text"))
+    weight = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weight // SHARD_BYTES))
 
     def count_words(batches: Iterator) -> Iterator:
         hasher = Hasher()
@@ -159,14 +162,13 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     def add_words(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         h, c = _summed(parts["data"], ["<u4"])
-        write_shard(f"{uri}/counts", int(key[0]), [h, c[0].astype(np.uint32)])
+        write_shard(f"{uri}/counts", int(key[0]), [h, c[0].astype(np.uint64)])
         top = np.argsort(-c[0], kind="stable")[:HOT]
         return pd.DataFrame({"h": h[top].view(np.int64), "c": c[0][top]})
 
     top = texts.mapInArrow(count_words, "shard int, kind int, data binary").groupBy("shard").applyInPandas(add_words, "h bigint, c bigint").toPandas()
-    counts = Store(f"{uri}/counts", n, ["<u8", "<u4"])
+    counts = Store(f"{uri}/counts", n, ["<u8", "<u8"])
     begin = np.int64(np.array([Hasher()[BEGIN]], U).view(np.int64)[0])
-    weight = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     hot = np.sort(top.loc[(top["c"] > max(1, weight // 6 // (4 * n))) | (top["h"] == begin), "h"].to_numpy(np.int64).view(U)) if len(top) else np.zeros(0, U)
 
     def count_pairs(batches: Iterator) -> Iterator:
@@ -210,7 +212,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         v, w = v[order[first]], w[order[first]]
         i = int(key[0])
         write_shard(f"{uri}/pairs", i, [keys, np.minimum(c, 255).astype(np.uint8)])
-        write_shard(f"{uri}/large", i, [keys[c >= 255], c[c >= 255].astype(np.uint32)])
+        write_shard(f"{uri}/large", i, [keys[c >= 255], c[c >= 255].astype(np.uint64)])
         out = []
         kinds, at = np.unique(v, return_inverse=True)
         seen = [np.bincount(at, weights=x, minlength=len(kinds)).astype(np.uint32) for x in (c == 1, c == 2, c > 2)]
@@ -223,8 +225,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     def add_kinds(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         i = int(key[0])
-        h, c = counts.shard(i) if i in has_words else (np.zeros(0, U), np.zeros(0, np.uint32))
-        cols = [np.zeros(len(h), np.uint32) for _ in range(4)]
+        h, c = counts.shard(i) if i in has_words else (np.zeros(0, U), np.zeros(0, np.uint64))
+        cols = [np.zeros(len(h), np.uint64) for _ in range(4)]
         for kind, at, types in ((2, [0], ["<u4"]), (1, [1, 2, 3], ["<u4"] * 3)):
             keys, sums = _summed(parts["data"][parts["kind"] == kind], types)
             where = np.searchsorted(h, keys)
@@ -241,7 +243,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     # any token's shard has words; every shard with words has followers or continuations
     has_words = set(range(n))
     for i in set(range(n)) - set(shard_of(top["h"].to_numpy(np.int64).view(U), n).astype(int).tolist() if len(top) else []):
-        write_shard(f"{uri}/counts", i, [np.zeros(0, U), np.zeros(0, np.uint32)])
+        write_shard(f"{uri}/counts", i, [np.zeros(0, U), np.zeros(0, np.uint64)])
     sent = texts.mapInArrow(count_pairs, "shard int, data binary").groupBy("shard").applyInPandas(add_pairs, "shard int, kind int, data binary")
     stats = sent.groupBy("shard").applyInPandas(add_kinds, ", ".join(f"{c} bigint" for c in NAMES)).toPandas()
     for name, types in (("pairs", 2), ("large", 2), ("words", 6)):
@@ -251,7 +253,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     rest = (of_words[0] * s["w1"] + of_words[1] * s["w2"] + of_words[2] * s["w3p"]) / s["continuations"] if s["continuations"] else 1.0
     manifest(uri, {"shards": n, "tokens": int(s["tokens"]), "vocabulary": int(s["vocabulary"])})
     return Model(
-        Store(f"{uri}/words", n, ["<u8", *["<u4"] * 5]), Store(f"{uri}/pairs", n, ["<u8", "u1"]), Store(f"{uri}/large", n, ["<u8", "<u4"]), hot,
+        Store(f"{uri}/words", n, ["<u8"] * 6), Store(f"{uri}/pairs", n, ["<u8", "u1"]), Store(f"{uri}/large", n, ["<u8", "<u8"]), hot,
         int(s["tokens"]), int(s["vocabulary"]), int(s["continuations"]), of_pairs, of_words, float(rest),
     )
 

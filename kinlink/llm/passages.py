@@ -32,6 +32,9 @@ from pyspark.sql import types as T
 from .hashed import Hasher, Store, U, chunks, cuts, manifest, mapped, stir, write_bytes, write_shard
 from .shared import scratch, table
 
+#: Text whose windows one shard, and so one task at a time, may hold.
+SHARD_BYTES = 256 << 20
+
 WIDTH = 35
 #: Cells of a block of the sketch, as a power of two.
 BLOCK = 23
@@ -241,7 +244,7 @@ def without_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, blo
     bits = max(16, int(size // 6 * 2).bit_length())
     sketch = Sketch(f"{uri}/sketch", bits, block)
     _sketch(docs, text, width, bits, sketch.uri, sketch.block)
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     store = _exact(docs, text, width, sketch, f"{uri}/repeated", shards)
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     plain = docs.select(*[(F.col(f"`{c}`").cast("binary") if c == text else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(keep)])

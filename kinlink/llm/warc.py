@@ -135,6 +135,12 @@ def write_archives(pages: DataFrame, uri: str, least: int = LEAST, shard_bytes:
     Only small rows (id, SHA-256) meet to find equal payloads; a payload shared by a third of all pages
     is one row of a partial maximum, and the planner splits the join back. Records cross the shuffle
     once, compressed."""
+    jvm = pages.sparkSession.sparkContext._jvm
+    Path = jvm.org.apache.hadoop.fs.Path  # noqa: N806
+    final = Path(f"{uri}/manifest")
+    fs = final.getFileSystem(pages.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(final):
+        raise FileExistsError(f"{uri}/manifest")
     spark = pages.sparkSession
     body = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url"), body.alias("html"))
@@ -195,10 +201,11 @@ def write_archives(pages: DataFrame, uri: str, least: int = LEAST, shard_bytes:
 
     rows = pages.mapInArrow(pack, schema).unionByName(refs.select("page_id", "k", "refers_to").mapInArrow(point, schema))
     order = rows.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "part", "k", "url")
-    order.mapInArrow(write, "file string, bytes bigint, records bigint, sha256 string").write.parquet(f"{uri}/.manifest.tmp")
-    jvm = spark.sparkContext._jvm
-    old, new = (jvm.org.apache.hadoop.fs.Path(f"{uri}/{x}") for x in (".manifest.tmp", "manifest"))
-    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(old, new)
+    stage = f".manifest.{uuid.uuid4().hex}.tmp"
+    order.mapInArrow(write, "file string, bytes bigint, records bigint, sha256 string").write.parquet(f"{uri}/{stage}")
+    # the manifest makes the archives: files of a run that failed before have no place in it
+    if fs.exists(final) or not fs.rename(Path(f"{uri}/{stage}"), final):
+        raise FileExistsError(f"{uri}/manifest")
     return spark.read.schema("file string, bytes bigint, records bigint, sha256 string").parquet(f"{uri}/manifest")
 
 

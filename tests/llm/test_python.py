@@ -85,6 +85,29 @@ def test_near_edges(spark):
     assert out.columns == clashing(spark).columns and {r["doc_id"] for r in out.collect()} == {1, 3, 4, 5, None, 7, 8, 10, 12, 13}
 
 
+def test_one_row_of_each_group_stays(spark):
+    more = [(21, "one more text of its own here", "en", "a")] * 2 + [(None, "nameless text of six words here", "en", "a")] * 3 + [(None, "NAMELESS text of six words here", "en", "b"), (22, "", "en", "a"), (22, "", "en", "a")]
+    got = collections.Counter((r["doc_id"], (r["text"] or "").lower()) for r in neardup.without_near_duplicates(documents(spark, [*ROWS, *more])).collect())
+    assert got[21, more[0][1]] == 1 and got[None, more[2][1]] == 1 and got[22, ""] == 2
+    again = [(x[0], x[1], x[2], f"s{i}") for i, x in enumerate([more[0]] * 40)]
+    one = [neardup.without_near_duplicates(documents(spark, rows)).collect() for rows in (again, again[::-1])]
+    assert len(one[0]) == 1 and one[0] == one[1]
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, "the cat sat on the mat and ate", "en", "a") for i in range(5)] + [(7, "der hund lief weit " * 200_000, "de", "a"), (8, "und der hund", "de", "a")]
+    trees = language.train(documents(spark, rows), train_bytes=2000)
+    assert trees.langs == ["de", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identified(documents(spark, [(1, "der hund lief", None, "a"), (2, "the cat sat", None, "a")]), trees).collect()}
+    assert got == {1: "de", 2: "en"}
+
+
+def test_counts_beyond_32_bits(spark):
+    big = [lm._dealt(np.array([5], lm.U), [np.array([4_000_000_000], np.uint32)], 1, 0).column(2)[0].as_py()] * 2
+    h, c = lm._summed(big, ["<u4"])
+    assert h.tolist() == [5] and c[0].astype(np.uint64).tolist() == [8_000_000_000]
+
+
 def test_pruning_keeps_similar_pairs():
     limits = neardup.bounds()
     r = np.random.default_rng(2)
@@ -355,6 +378,11 @@ def test_warc_round_trip(spark, tmp_path):
     assert files["one"] == files["two"] and len(files["one"]) > 3
     assert gzip.decompress(next(iter(files["one"].values()))).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
     assert not [p for p in (tmp_path / "one").iterdir() if p.name.endswith(".tmp")]
+    with pytest.raises(FileExistsError):
+        warc.write_archives(pages.filter("page_id = 2"), str(tmp_path / "one"))
+    (tmp_path / "three" / ".manifest.0.tmp").mkdir(parents=True)
+    warc.write_archives(pages, str(tmp_path / "three"), shard_bytes=2000, roll_bytes=900)
+    assert warc.read_archives(spark, str(tmp_path / "three")).count() == len(rows)
     empty = str(tmp_path / "none")
     warc.write_archives(pages.limit(0), empty)
     assert warc.read_archives(spark, empty).count() == 0
