@@ -338,3 +338,14 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=PERCENT).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM words),
+shingles AS (SELECT doc_id, unnest(g) AS h FROM sets),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON y.h = x.h AND y.doc_id <> x.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * n >= 85 * (len(p.g) + len(q.g) - n)),
+reached AS (SELECT doc_id AS node, doc_id AS other FROM sets UNION SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN (SELECT node, min(other) AS c FROM reached GROUP BY node) ON node = doc_id
+"""

@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_mixing": mixing.OP1_SQL, "op8_passages": passages.OP8_SQL, "op9_warc": warc.OP9_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op2_neardup": neardup.OP2_SQL, "op8_passages": passages.OP8_SQL, "op9_warc": warc.OP9_SQL}
