@@ -1,6 +1,7 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Pages are range-sorted by id into shards; a task streams its shards into files that roll at a
+Pages are range-sorted by id and payload hash into shards, so that an id that many rows share (or the
+null id) is dealt over several; a task streams its shards into files that roll at a
 compressed size, each record a gzip member of its own. Files are written under temporary names,
 renamed when complete and listed in a manifest, which is committed last; the reader opens only
 what the manifest lists. Bytes depend on the pages alone: record ids are derived, dates and gzip
@@ -66,14 +67,29 @@ def record(kind: str, page_id: int | None, url: str | None, payload_digest: str,
     return _gzip(b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n")
 
 
-def _bounds(pages: DataFrame, total: int, rows: int, shard_bytes: int) -> np.ndarray:
-    """Shard bounds: quantiles of ids that a hash selects, at most some 16 for each shard."""
+def _bounds(pages: DataFrame, total: int, rows: int, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard bounds, ids with the start of a payload's hash: quantiles of the rows that a hash selects,
+    at most some 16 for each shard."""
     shards = min(MOST_SHARDS, max(1, -(-total // shard_bytes)))
     if shards == 1 or not rows:
-        return np.zeros(0, np.int64)
-    ids = pages.select(F.coalesce("page_id", F.lit(_NULL)).alias("i")).filter(F.pmod(F.xxhash64(F.lit("warc"), "i"), F.lit(1 << 30)) < min(1.0, 16 * shards / rows) * float(1 << 30))
-    found = np.sort(np.array([r["i"] for r in ids.distinct().collect()], np.int64))
-    return np.unique(found[(np.arange(1, shards) * len(found)) // shards]) if len(found) else found
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    ids = pages.select(F.coalesce("page_id", F.lit(_NULL)).alias("i"), "html").filter(F.pmod(F.xxhash64(F.lit("warc"), "i", "html"), F.lit(1 << 30)) < min(1.0, 16 * shards / rows) * float(1 << 30))
+    found = sorted({(r["i"], _start(r["k"])) for r in ids.select("i", F.sha2("html", 256).alias("k")).distinct().collect()})
+    cut = sorted({found[k * len(found) // shards] for k in range(1, shards)}) if found else []
+    return np.array([i for i, _ in cut], np.int64), np.array([h for _, h in cut], np.uint64)
+
+
+def _start(k: str) -> int:
+    return int(k[:16], 16)
+
+
+def _place(ids: pa.Array, keys: list[str], bounds: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    """The shard of each row: how many bounds aren't above its id and payload hash."""
+    x = np.asarray(ids.fill_null(_NULL))
+    low, high = (np.searchsorted(bounds[0], x, side=side) for side in ("left", "right"))
+    for at in np.flatnonzero(low < high):
+        low[at] += np.searchsorted(bounds[1][low[at] : high[at]], np.uint64(_start(keys[at])), side="right")
+    return pa.array(low.astype(np.int32))
 
 
 def _stream(uri: str, name: str):
@@ -149,11 +165,7 @@ def write_archives(pages: DataFrame, uri: str, least: int = LEAST, shard_bytes:
     refs = large.join(same, "k").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
     size = pages.agg(F.sum(F.octet_length("html").cast("bigint")).alias("b"), F.count("*").alias("n")).first()
     bounds = _bounds(pages, size["b"] or 0, size["n"], shard_bytes)
-    shards = len(bounds) + 1
-
-    def place(ids: pa.Array) -> pa.Array:
-        x = np.asarray(ids.fill_null(_NULL))
-        return pa.array(np.searchsorted(bounds, x, side="right").astype(np.int32))
+    shards = len(bounds[0]) + 1
 
     def pack(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -163,18 +175,18 @@ def write_archives(pages: DataFrame, uri: str, least: int = LEAST, shard_bytes:
                 digest = _sha1(data)
                 out.append((hashlib.sha256(data).hexdigest(), url, digest, len(data), record("response", i, url, digest, len(data), data)))
             k, u, g, n, r = map(list, zip(*out, strict=True)) if out else ([], [], [], [], [])
-            yield pa.RecordBatch.from_arrays([place(ids), ids, pa.array([1] * len(out), pa.int32()), pa.array(k, pa.string()), pa.nulls(len(out), pa.int64()), pa.array(u, pa.string()), pa.array(g, pa.string()), pa.array(n, pa.int64()), pa.array(r, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([_place(ids, k, bounds), ids, pa.array([1] * len(out), pa.int32()), pa.array(k, pa.string()), pa.nulls(len(out), pa.int64()), pa.array(u, pa.string()), pa.array(g, pa.string()), pa.array(n, pa.int64()), pa.array(r, pa.binary())], names)
 
     def point(batches: Iterator) -> Iterator:
         for batch in batches:
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([place(batch.column(0)), batch.column(0), pa.array([0] * n, pa.int32()), batch.column(1), batch.column(2), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([_place(batch.column(0), batch.column(1).to_pylist(), bounds), batch.column(0), pa.array([0] * n, pa.int32()), batch.column(1), batch.column(2), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
 
     names = ["shard", "page_id", "part", "k", "refers_to", "url", "digest", "bytes", "record"]
     schema = "shard int, page_id bigint, part int, k string, refers_to bigint, url string, digest string, bytes bigint, record binary"
 
     def write(batches: Iterator) -> Iterator:
-        roller, now, refers = None, object(), {}
+        roller, now, refers = None, object(), None
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 shard, page, part, k, to, url, digest, size, data = row
@@ -183,12 +195,12 @@ def write_archives(pages: DataFrame, uri: str, least: int = LEAST, shard_bytes:
                         roller.close()
                         yield from told(roller)
                     roller, now = _Roller(uri, shard, roll_bytes), object()
-                if page != now:
-                    now, refers = page, {}
+                if (page, k) != now:
+                    now, refers = (page, k), None
                 if part == 0:
-                    refers[k] = to
-                elif k in refers:
-                    roller.add(record("revisit", page, url, digest, size, b"", refers[k]))
+                    refers = to
+                elif refers is not None:
+                    roller.add(record("revisit", page, url, digest, size, b"", refers))
                 else:
                     roller.add(data)
         if roller is not None:
@@ -200,7 +212,7 @@ def write_archives(pages: DataFrame, uri: str, least: int = LEAST, shard_bytes:
         yield pa.RecordBatch.from_pydict({"file": n, "bytes": b, "records": r, "sha256": s})
 
     rows = pages.mapInArrow(pack, schema).unionByName(refs.select("page_id", "k", "refers_to").mapInArrow(point, schema))
-    order = rows.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "part", "k", "url")
+    order = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "k", "part", "url")
     stage = f".manifest.{uuid.uuid4().hex}.tmp"
     order.mapInArrow(write, "file string, bytes bigint, records bigint, sha256 string").write.parquet(f"{uri}/{stage}")
     # the manifest makes the archives: files of a run that failed before have no place in it
@@ -231,7 +243,8 @@ def read_archives(spark: SparkSession, uri: str) -> DataFrame:
     """The page records of the files that the manifest lists. Digests are computed anew from what
     was read; a block or payload that differs from its header fails the task."""
     files = spark.read.schema("file string").parquet(f"{uri}/manifest")
-    files = files.repartition(max(1, min(MOST_SHARDS, files.count())), "file")
+    own = F.split("file", "[-.]")
+    files = files.repartitionById(max(1, min(MOST_SHARDS, files.count())), (F.get(own, F.lit(1)).cast("int") + F.get(own, F.lit(2)).cast("int")))
 
     def parse(batches: Iterator) -> Iterator:
         for batch in batches:
