@@ -10,7 +10,8 @@ below ``miss``. Survivors are verified on their full sets.
 No group is ever expanded into its pairs. (1) Every member of a bucket meets the bucket's smallest
 member; links found join components. (2) Only buckets that still hold several components go on:
 members outside the bucket's largest component meet all others of other components, in blocks of
-at most ``block`` members, so that a hot bucket is dealt over many tasks. A block verifies its
+some ``block`` members and ``WEIGHT`` shingles, so that a hot bucket is dealt over many tasks and long
+documents make small blocks. A block verifies its
 survivors on the full sets it holds and returns links alone, never pairs.
 No partner or candidate is capped. What is left open is the banding's and the pruning's own
 probability of a miss.
@@ -39,9 +40,13 @@ from .shared import scratch, stored, table
 SHINGLE, PERCENT, DROP = 5, 85, 80
 BANDS, ROWS, BATCH, MISS, BLOCK = 30, 5, 25, 1e-7, 1024
 HASHES = BANDS * ROWS
+#: Shingles that the sets of a block hold, and shares into which the members of a bucket are dealt.
+WEIGHT, SHARES = 4 << 20, 16
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * U(2) + U(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+#: Ids that one shard of the candidates, and so one task, may hold.
+SHARD_ROWS = 8 << 20
 #: Nodes of classes whose rows have no id: above all ids.
 NO_ID = 1 << 62
 
@@ -200,12 +205,16 @@ def _foreign_links(members: DataFrame, labels: DataFrame, sets: DataFrame, limit
     A unit compares its pairs by signature, verifies survivors on their sets, likeliest first, and
     skips pairs whose components a link of the same unit has joined by then. It returns links only:
     fewer than it has members, however many pairs it had to verify."""
-    lab = members.join(labels, "node", "left").select("bk", "band", "node", F.coalesce("comp", "node").alias("comp"))
+    lab = members.join(labels, "node", "left").select("bk", "band", "node", "size", F.coalesce("comp", "node").alias("comp"))
     lab = stored(lab, "near-members")
-    sides = lab.groupBy("bk", "comp").agg(F.count("*").alias("n"))
-    open_ = sides.groupBy("bk").agg(F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("top"), F.sum("n").alias("m"), F.count("*").alias("k")).filter("k > 1")
-    open_ = open_.select("bk", (-F.col("top.c")).alias("big"), F.ceil(F.col("top.n") / block).cast("int").alias("cg"), F.ceil((F.col("m") - F.col("top.n")) / block).cast("int").alias("cr"))
-    at = lab.join(open_, "bk").withColumn("r", F.col("comp") != F.col("big"))
+    sides = lab.groupBy("bk", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    top = F.max(F.struct("n", (-F.col("comp")).alias("c"), "w")).alias("top")
+    open_ = sides.groupBy("bk").agg(top, F.sum("n").alias("m"), F.sum("w").alias("w"), F.count("*").alias("k")).filter("k > 1")
+    count = lambda n, w: F.ceil(F.greatest(n / block, w / WEIGHT)).cast("int")
+    open_ = open_.select("bk", (-F.col("top.c")).alias("big"), count(F.col("top.n"), F.col("top.w")).alias("cg"), count(F.col("m") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("cr"))
+    # one row a bucket that is still open, for each share of its members: a hot bucket meets it in many tasks
+    open_ = stored(open_, "near-open").select("*", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    at = lab.withColumn("share", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SHARES)).cast("int")).join(open_, ["bk", "share"]).withColumn("r", F.col("comp") != F.col("big"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("r"), F.col("cr")).otherwise(F.col("cg"))).cast("int")
     span = lambda n: F.sequence(F.lit(0), n - 1)
     # a unit is a block of strays with a block of the largest component (j >= 0) or of strays (j < 0)
@@ -286,20 +295,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text"))
     signed = stored(docs.mapInArrow(_signed, "doc_id bigint, h bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary"), "near-signed")
     node = F.coalesce(F.min("doc_id"), F.first("k1").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(NO_ID))
-    classes = stored(signed.filter("n_shingles > 0").groupBy("k1", "k2").agg(node.alias("node"), F.count("*").alias("n"), F.first("sig").alias("sig")), "near-classes")
+    classes = stored(signed.filter("n_shingles > 0").groupBy("k1", "k2").agg(node.alias("node"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size")), "near-classes")
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * ROWS * 4 + 1, ROWS * 4)) for b in range(BANDS)])
-    banded = classes.select("node", F.posexplode(bands).alias("band", "bk"))
+    banded = classes.select("node", "size", F.posexplode(bands).alias("band", "bk"))
     buckets = banded.groupBy("bk").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("bk", "pivot")
-    members = stored(banded.join(buckets, "bk"), "near-buckets")
+    # a stored table of buckets, so that the planner can split the other side where a bucket is large
+    members = stored(banded.join(stored(buckets, "near-pivots"), "bk"), "near-buckets")
     candidates = stored(members.select("node").distinct(), "near-candidates")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-candidates.count() // SHARD_ROWS))
     sets = stored(_sets(docs.select("doc_id", "text"), _id_store(candidates, scratch(spark, "near-ids"), shards)), "near-sets")
     sigs = sets.select("node", "sig")
 
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(_verified(_likely(stars, sigs, limits), sets, percent), "near-links")
     labels = components(links)
-    more = stored(_foreign_links(members.select("bk", "band", "node"), labels, sets, limits, percent, block), "near-links")
+    more = stored(_foreign_links(members.select("bk", "band", "node", "size"), labels, sets, limits, percent, block), "near-links")
     comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}c"))
     crossing = more.join(comp("a"), "a", "left").join(comp("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
     joined = components(crossing)
