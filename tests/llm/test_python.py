@@ -71,6 +71,15 @@ def test_near_duplicates(spark, block):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(s[i]), want[i], want[i] == i)
 
 
+def test_long_sets_make_small_blocks(spark, monkeypatch):
+    rows = near_rows()
+    want = brute_components(sets(rows))
+    monkeypatch.setattr(neardup, "WEIGHT", 200)
+    monkeypatch.setattr(neardup, "SHARD_ROWS", 3)
+    got = neardup.near_duplicates(documents(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_near_edges(spark):
     got = neardup.near_duplicates(documents(spark)).collect()
     by = collections.defaultdict(list)
@@ -388,6 +397,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_an_id_of_many_rows_fills_several_shards(spark, tmp_path):
+    rows = [(None, None, f"{i % 60:04d}" * 400) for i in range(120)] + [(i, "u", f"{i:04d}" * 400) for i in range(50, 70)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    files = warc.write_archives(pages, str(tmp_path / "a"), shard_bytes=8000).collect()
+    got = warc.read_archives(spark, str(tmp_path / "a")).collect()
+    most = max(r["records"] for r in files)
+    assert most < 40 and sum(r["records"] for r in files) == len(got) == 140
+    assert all(r["record_type"] == "response" for r in got if r["page_id"] is not None)
+    nameless = collections.Counter((r["record_type"], r["refers_to"]) for r in got if r["page_id"] is None)
+    assert nameless == {("response", None): 100, **{("revisit", i): 2 for i in range(50, 60)}}
+
+
 def test_learning_sides_follow_the_key(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", language.remainder(F.col("doc_id"), 7).alias("m")).collect()
     assert all(r["m"] == zlib.crc32(str(r["doc_id"]).encode()) % 7 for r in rows)
