@@ -71,7 +71,8 @@ def pair_shard(v: np.ndarray, key: np.ndarray, hot: np.ndarray, n: int) -> np.nd
 
 
 def discounts(n: list[float]) -> tuple[float, float, float]:
-    """D1, D2, D3+ from the numbers of items seen once, twice, three and four times."""
+    """D1, D2, D3+ from the numbers of items seen once, twice, three and four times. One that comes out
+    at 0 or less is 0.5, so that every context leaves mass to words it wasn't seen with."""
     n1, n2, n3, n4 = n
     if not n1 or not n2:
         return 0.5, 0.5, 0.5
@@ -79,7 +80,7 @@ def discounts(n: list[float]) -> tuple[float, float, float]:
     d1 = 1 - 2 * y * n2 / n1
     d2 = 2 - 3 * y * n3 / n2
     d3 = 3 - 4 * y * n4 / n3 if n3 else d2
-    return tuple(float(min(max(d, 0.0), k)) for d, k in ((d1, 1), (d2, 2), (d3, 3)))
+    return tuple(float(min(d, k)) if d > 0 else 0.5 for d, k in ((d1, 1), (d2, 2), (d3, 3)))
 
 
 @dataclass
