@@ -1,17 +1,20 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of order 2 or 3.
 
 Training counts distinct words and word pairs per task, then exactly per shard. Pairs are dealt by
 their first word; words so frequent that their pairs would fill a shard are dealt by both. The model
 is a set of sorted hash arrays in the shared folder: per word its count, its continuation count (how
-many words precede it) and how many of its followers were seen once, twice and more often; per pair
-its count. Workers memory-map the arrays and look tokens up by binary search; no worker holds them.
+many words precede it), the sum of its followers' counts and how many of them were seen once, twice
+and more often; per pair its count. Workers memory-map the arrays and look tokens up by binary
+search; no worker holds them.
 
 p(w | v) = (c(vw) - D(c(vw)))+ / c(v) + g(v) * p1(w), p1 the same over continuation counts, backed by
-1 / (V + 1). Discounts D1, D2, D3+ come from counts of counts, at both orders. A text starts after
-a start mark and ends with an end token. Unseen contexts fall back to p1.
+1 / (V + 1). Discounts D1, D2, D3+ come from counts of counts, at every order. A text starts after
+start marks and ends with an end token. Unseen contexts fall back to the order below.
 
-Order 2 is what the disk allows: with trigrams, nearly all of which are distinct, the arrays alone
-would exceed the input several times.
+At order 3 triples are counted first, dealt by the whole triple, so that no context is hot; a pair's
+count is then the number of distinct words before it, and contexts of two words are an array of their
+own. Order 2 is the default, as triples, nearly all of which are distinct, take several times the input
+on disk while they are counted.
 
 Defined results: null and empty texts are the end token alone; repeated rows count as documents of
 their own; with no training text every token has probability 1 (V = 0) and base score 0; a null key
@@ -32,13 +35,15 @@ from pyspark.sql import types as T
 
 from .hashed import Hasher, Store, U, chunks, cuts, manifest, shard_of, stir, write_shard
 from .language import remainder
-from .shared import scratch, table
+from .shared import scratch, stored, table
 
 END, BEGIN = b" end", b" begin"  # no word holds a space
 GROUP = 12 << 20
 #: Text whose words and pairs one shard, and so one task at a time, may hold. Counts have 64 bits.
 SHARD_BYTES = 256 << 20
 HOT = 64
+#: Types of the columns of ``_followers``.
+FOLLOWERS = ["<u4", "<u4", "<u4", "<u8"]
 
 
 def _tokens(texts: list, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -95,22 +100,25 @@ class Model:
     pair_discounts: tuple
     word_discounts: tuple
     rest: float
+    triples: Store | None = None
+    large_triples: Store | None = None
+    contexts: Store | None = None
+    triple_discounts: tuple = ()
 
-    def _counts(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        key = pair_key(v, w)
-        at = pair_shard(v, key, self.hot, self.pairs.n)
+    @staticmethod
+    def _counts(store: Store, large: Store, key: np.ndarray, at: np.ndarray) -> np.ndarray:
         order = np.lexsort((key, at))
         k, found = key[order], np.zeros(len(key), np.int64)
-        ends = np.searchsorted(at[order], np.arange(self.pairs.n + 1, dtype=U))
+        ends = np.searchsorted(at[order], np.arange(store.n + 1, dtype=U))
         for i in np.flatnonzero(np.diff(ends)):
             a, b = ends[i], ends[i + 1]
-            have, counts = self.pairs.shard(int(i))
+            have, counts = store.shard(int(i))
             if len(have):
                 p = np.minimum(np.searchsorted(have, k[a:b]), len(have) - 1)
                 c = np.where(have[p] == k[a:b], counts[p], 0).astype(np.int64)
                 big = np.flatnonzero(c == 255)
                 if len(big):
-                    keys, values = self.large.shard(int(i))
+                    keys, values = large.shard(int(i))
                     c[big] = values[np.searchsorted(keys, k[a:b][big])]
                 found[a:b] = c
         out = np.empty_like(found)
@@ -121,20 +129,30 @@ class Model:
         """Per text: known tokens, base score, model score."""
         before = _before(tokens, starts, hasher)
         kinds, at = np.unique(np.concatenate([tokens, np.array([hasher[BEGIN]], U)]), return_inverse=True)
-        _, (c, cont, n1, n2, n3) = self.words.find(kinds)
+        _, (c, cont, n1, n2, n3, whole) = self.words.find(kinds)
         c, cont = c.astype(float), cont.astype(float)
         flat = 1 / (self.vocabulary + 1)
         low = np.full(len(kinds), flat)
         if self.continuations:
             low = np.maximum(cont - _d(cont, self.word_discounts), 0) / self.continuations + self.rest * flat
         d1, d2, d3 = self.pair_discounts
-        back = np.where(c > 0, (d1 * n1 + d2 * n2 + d3 * n3) / np.maximum(c, 1), 1.0)
+        back = np.where(whole > 0, (d1 * n1 + d2 * n2 + d3 * n3) / np.maximum(whole, 1), 1.0)
         w = at[:-1]
         v = np.empty_like(w)
         v[1:] = w[:-1]
         v[starts] = at[-1]
-        pair = self._counts(before, tokens).astype(float)
-        p = np.maximum(pair - _d(pair, self.pair_discounts), 0) / np.maximum(c[v], 1) + back[v] * low[w]
+        key = pair_key(before, tokens)
+        pair = self._counts(self.pairs, self.large, key, pair_shard(before, key, self.hot, self.pairs.n)).astype(float)
+        p = np.maximum(pair - _d(pair, self.pair_discounts), 0) / np.maximum(whole[v], 1) + back[v] * low[w]
+        if self.triples is not None:
+            context = pair_key(_before(before, starts, hasher), before)
+            key = pair_key(context, tokens)
+            triple = self._counts(self.triples, self.large_triples, key, shard_of(key, self.triples.n)).astype(float)
+            kinds, at = np.unique(context, return_inverse=True)
+            _, (n1, n2, n3, whole) = self.contexts.find(kinds)
+            d1, d2, d3 = self.triple_discounts
+            back = np.where(whole > 0, (d1 * n1 + d2 * n2 + d3 * n3) / np.maximum(whole, 1), 1.0)
+            p = np.maximum(triple - _d(triple, self.triple_discounts), 0) / np.maximum(whole[at], 1) + back[at] * p
         total = self.tokens + self.vocabulary + 1
         base = np.log10((c + 1) / total)
         return [np.add.reduceat((c > 0)[w].astype(np.int64), starts), np.add.reduceat(base[w], starts), np.add.reduceat(np.log10(p), starts)]
@@ -144,13 +162,15 @@ def _d(c: np.ndarray, d: tuple) -> np.ndarray:
     return np.select([c == 0, c == 1, c == 2], [0.0, d[0], d[1]], d[2])
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     """Count ``docs`` and store the model."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: 2 or 3")
     spark = docs.sparkSession
     uri = scratch(spark, "lm")
     texts = docs.select(F.col(text).cast("binary").alias("text"))
     weight = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weight // SHARD_BYTES))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weight // (SHARD_BYTES if order == 2 else SHARD_BYTES // 4)))
 
     def count_words(batches: Iterator) -> Iterator:
         hasher = Hasher()
@@ -182,29 +202,10 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             key = key[order]
             first = np.flatnonzero(np.diff(key, prepend=key[:1] - U(1)))
             c = np.diff(np.append(first, len(key))).astype(np.uint32)
-            v, w, key = v[order][first], w[order][first], key[first]
-            at = pair_shard(v, key, hot, n)
-            order = np.lexsort((v, at))
-            v, w, c, at = v[order], w[order], c[order], at[order]
-            ends = np.searchsorted(at, np.arange(n + 1, dtype=U))
-            used, blobs = np.flatnonzero(np.diff(ends)), []
-            for i in used:
-                part = slice(ends[i], ends[i + 1])
-                firsts = np.flatnonzero(np.diff(v[part], prepend=v[part][:1] - U(1)))
-                runs = np.diff(np.append(firsts, ends[i + 1] - ends[i])).astype(np.uint32)
-                head = np.array([len(firsts), ends[i + 1] - ends[i]], np.int64)
-                blobs.append(b"".join(x.tobytes() for x in (head, v[part][firsts], runs, w[part], c[part])))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(used, pa.int32()), "data": pa.array(blobs, pa.binary())})
+            yield _pair_blobs(v[order][first], w[order][first], c, hot, n)
 
     def add_pairs(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        vs, ws, cs = [], [], []
-        for b in parts["data"]:
-            k, m = np.frombuffer(b, np.int64, 2)
-            vs.append(np.repeat(np.frombuffer(b, U, k, 16), np.frombuffer(b, np.uint32, k, 16 + 8 * k)))
-            ws.append(np.frombuffer(b, U, m, 16 + 12 * k))
-            cs.append(np.frombuffer(b, np.uint32, m, 16 + 12 * k + 8 * m))
-        v, w, c = np.concatenate(vs), np.concatenate(ws), np.concatenate(cs)
-        del vs, ws, cs
+        v, w, c = _pairs_of(parts["data"])
         keys = pair_key(v, w)
         order = np.argsort(keys)
         keys, c = keys[order], c[order].astype(np.int64)
@@ -216,8 +217,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         write_shard(f"{uri}/large", i, [keys[c >= 255], c[c >= 255].astype(np.uint64)])
         out = []
         kinds, at = np.unique(v, return_inverse=True)
-        seen = [np.bincount(at, weights=x, minlength=len(kinds)).astype(np.uint32) for x in (c == 1, c == 2, c > 2)]
-        out.append(_dealt(kinds, seen, n, 1))
+        out.append(_dealt(kinds, _followers(at, c, len(kinds)), n, 1))
         kinds, seen = np.unique(w, return_counts=True)
         out.append(_dealt(kinds, [seen.astype(np.uint32)], n, 2))
         of_counts = np.array([(c == k).sum() for k in (1, 2, 3, 4)], np.int64)
@@ -227,8 +227,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     def add_kinds(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         i = int(key[0])
         h, c = counts.shard(i) if i in has_words else (np.zeros(0, U), np.zeros(0, np.uint64))
-        cols = [np.zeros(len(h), np.uint64) for _ in range(4)]
-        for kind, at, types in ((2, [0], ["<u4"]), (1, [1, 2, 3], ["<u4"] * 3)):
+        cols = [np.zeros(len(h), np.uint64) for _ in range(5)]
+        for kind, at, types in ((2, [0], ["<u4"]), (1, [1, 2, 3, 4], FOLLOWERS)):
             keys, sums = _summed(parts["data"][parts["kind"] == kind], types)
             where = np.searchsorted(h, keys)
             for k, s in zip(at, sums, strict=True):
@@ -245,20 +245,111 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     has_words = set(range(n))
     for i in set(range(n)) - set(shard_of(top["h"].to_numpy(np.int64).view(U), n).astype(int).tolist() if len(top) else []):
         write_shard(f"{uri}/counts", i, [np.zeros(0, U), np.zeros(0, np.uint64)])
-    sent = texts.mapInArrow(count_pairs, "shard int, data binary").groupBy("shard").applyInPandas(add_pairs, "shard int, kind int, data binary")
+    third = _triples(texts, uri, n, hot) if order == 3 else None
+    dealt = texts.mapInArrow(count_pairs, "shard int, data binary") if third is None else third[0]
+    sent = dealt.groupBy("shard").applyInPandas(add_pairs, "shard int, kind int, data binary")
     stats = sent.groupBy("shard").applyInPandas(add_kinds, ", ".join(f"{c} bigint" for c in NAMES)).toPandas()
-    for name, types in (("pairs", 2), ("large", 2), ("words", 6)):
+    for name, types in (("pairs", 2), ("large", 2), ("words", 7)):
         _fill(f"{uri}/{name}", n)
     s = stats.sum()
     of_words, of_pairs = discounts([s["w1"], s["w2"], s["w3"], s["w4"]]), discounts([s["p1"], s["p2"], s["p3"], s["p4"]])
     rest = (of_words[0] * s["w1"] + of_words[1] * s["w2"] + of_words[2] * s["w3p"]) / s["continuations"] if s["continuations"] else 1.0
     manifest(uri, {"shards": n, "tokens": int(s["tokens"]), "vocabulary": int(s["vocabulary"])})
     return Model(
-        Store(f"{uri}/words", n, ["<u8"] * 6), Store(f"{uri}/pairs", n, ["<u8", "u1"]), Store(f"{uri}/large", n, ["<u8", "<u8"]), hot,
-        int(s["tokens"]), int(s["vocabulary"]), int(s["continuations"]), of_pairs, of_words, float(rest),
+        Store(f"{uri}/words", n, ["<u8"] * 7), Store(f"{uri}/pairs", n, ["<u8", "u1"]), Store(f"{uri}/large", n, ["<u8", "<u8"]), hot,
+        int(s["tokens"]), int(s["vocabulary"]), int(s["continuations"]), of_pairs, of_words, float(rest), *(third[1:] if third else ()),
     )
 
 
+def _triples(texts: DataFrame, uri: str, n: int, hot: np.ndarray) -> tuple:
+    """Count triples and store their arrays: blobs of pairs with the number of distinct words before
+    each, the stores of triples, of their large counts and of contexts, the discounts."""
+
+    def count(batches: Iterator) -> Iterator:
+        hasher = Hasher()
+        for rows in chunks(batches, ["text"], GROUP):
+            w, starts = _tokens(rows["text"], hasher)
+            v = _before(w, starts, hasher)
+            x = pair_key(_before(v, starts, hasher), v)
+            key = pair_key(x, w)
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=key[:1] - U(1)))
+            c = np.diff(np.append(first, len(key))).astype(np.uint32)
+            at = order[first]
+            yield _dealt(key[first], [x[at], v[at], w[at], c], n, 0)
+
+    def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        i, cols = int(key[0]), [[], [], [], [], []]
+        for b in parts["data"]:
+            m = len(b) // 36
+            for k in range(5):
+                cols[k].append(np.frombuffer(b, U if k < 4 else np.uint32, m, 8 * m * k))
+        keys, x, v, w, c = (np.concatenate(col) for col in cols)
+        del cols
+        order = np.argsort(keys)
+        keys, c = keys[order], c[order].astype(np.int64)
+        first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - U(1)))
+        c, keys, at = np.add.reduceat(c, first), keys[first], order[first]
+        write_shard(f"{uri}/triples", i, [keys, np.minimum(c, 255).astype(np.uint8)])
+        write_shard(f"{uri}/large-triples", i, [keys[c >= 255], c[c >= 255].astype(np.uint64)])
+        kinds, own = np.unique(x[at], return_inverse=True)
+        contexts = _dealt(kinds, _followers(own, c, len(kinds)), n, 4)
+        pair, own, seen = np.unique(pair_key(v[at], w[at]), return_index=True, return_counts=True)
+        pairs = _pair_blobs(v[at][own], w[at][own], seen.astype(np.uint32), hot, n)
+        pairs = pa.RecordBatch.from_arrays([pairs.column(0), pa.array([0] * pairs.num_rows, pa.int32()), pairs.column(1)], ["shard", "kind", "data"])
+        of_counts = np.array([(c == k).sum() for k in (1, 2, 3, 4)], np.int64)
+        told = pa.RecordBatch.from_pydict({"shard": pa.array([i], pa.int32()), "kind": pa.array([3], pa.int32()), "data": pa.array([of_counts.tobytes()], pa.binary())})
+        return pa.Table.from_batches([contexts, pairs, told]).to_pandas()
+
+    def add_contexts(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        h, cols = _summed(parts["data"], FOLLOWERS)
+        write_shard(f"{uri}/contexts", int(key[0]), [h, *[c.astype(np.uint64) for c in cols]])
+        return parts.iloc[:1][["shard"]]
+
+    sent = stored(texts.mapInArrow(count, "shard int, kind int, data binary").select("shard", "data").groupBy("shard").applyInPandas(add, "shard int, kind int, data binary"), "lm-triples")
+    sent.filter("kind = 4").groupBy("shard").applyInPandas(add_contexts, "shard int").agg(F.count("*")).collect()
+    of_counts = sum((np.frombuffer(r["data"], np.int64) for r in sent.filter("kind = 3").select("data").collect()), np.zeros(4, np.int64))
+    for name in ("triples", "large-triples", "contexts"):
+        _fill(f"{uri}/{name}", n)
+    stores = Store(f"{uri}/triples", n, ["<u8", "u1"]), Store(f"{uri}/large-triples", n, ["<u8", "<u8"]), Store(f"{uri}/contexts", n, ["<u8"] * 5)
+    return sent.filter("kind = 0").select("shard", "data"), *stores, discounts(of_counts.tolist())
+
+
+def _pair_blobs(v: np.ndarray, w: np.ndarray, c: np.ndarray, hot: np.ndarray, n: int) -> pa.RecordBatch:
+    """Distinct pairs with their counts, one blob per shard."""
+    at = pair_shard(v, pair_key(v, w), hot, n)
+    order = np.lexsort((v, at))
+    v, w, c, at = v[order], w[order], c[order], at[order]
+    ends = np.searchsorted(at, np.arange(n + 1, dtype=U))
+    used, blobs = np.flatnonzero(np.diff(ends)), []
+    for i in used:
+        part = slice(ends[i], ends[i + 1])
+        firsts = np.flatnonzero(np.diff(v[part], prepend=v[part][:1] - U(1)))
+        runs = np.diff(np.append(firsts, ends[i + 1] - ends[i])).astype(np.uint32)
+        head = np.array([len(firsts), ends[i + 1] - ends[i]], np.int64)
+        blobs.append(b"".join(x.tobytes() for x in (head, v[part][firsts], runs, w[part], c[part])))
+    return pa.RecordBatch.from_pydict({"shard": pa.array(used, pa.int32()), "data": pa.array(blobs, pa.binary())})
+
+
+def _pairs_of(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    vs, ws, cs = [], [], []
+    for b in blobs:
+        k, m = np.frombuffer(b, np.int64, 2)
+        vs.append(np.repeat(np.frombuffer(b, U, k, 16), np.frombuffer(b, np.uint32, k, 16 + 8 * k)))
+        ws.append(np.frombuffer(b, U, m, 16 + 12 * k))
+        cs.append(np.frombuffer(b, np.uint32, m, 16 + 12 * k + 8 * m))
+    return np.concatenate(vs), np.concatenate(ws), np.concatenate(cs)
+
+
+def _followers(at: np.ndarray, c: np.ndarray, kinds: int) -> list[np.ndarray]:
+    """Per context: followers seen once, twice and more often, and the sum of all counts."""
+    some = [np.bincount(at, weights=x, minlength=kinds).astype(np.uint32) for x in (c == 1, c == 2, c > 2)]
+    whole = np.zeros(kinds, np.uint64)
+    np.add.at(whole, at, c.astype(np.uint64))
+    return [*some, whole]
+
+
 def _fill(uri: str, n: int) -> None:
     """Empty files for shards that no task had to write."""
     from .hashed import _filesystem

@@ -111,6 +111,10 @@ def test_every_labelled_language_is_learned(spark):
     assert got == {1: "de", 2: "en"}
 
 
+def test_discounts_are_above_zero():
+    assert lm.discounts([10, 1, 9, 50])[1:] == (0.5, 0.5) and all(0 < d <= k for d, k in zip(lm.discounts([900, 300, 100, 60]), (1, 2, 3), strict=True))
+
+
 def test_counts_beyond_32_bits(spark):
     big = [lm._dealt(np.array([5], lm.U), [np.array([4_000_000_000], np.uint32)], 1, 0).column(2)[0].as_py()] * 2
     h, c = lm._summed(big, ["<u4"])
@@ -307,39 +311,49 @@ def test_lcs_equals_table():
         assert decontam.lcs(decontam._positions(a), len(a), b) == t[-1][-1]
 
 
-def test_kneser_ney_equals_definition(spark):
-    tok = [(x[1] or "").encode().lower().split() + [lm.END] for x in ROWS]
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_equals_definition(spark, order):
+    r = random.Random(order)
+    rows = [*ROWS, *[(100 + i, " ".join(r.choice("abcdef") for _ in range(r.randint(1, 60))), "en", "a") for i in range(40)], (200, "one two three " * 400, "en", "a")]
+    tok = [(x[1] or "").encode().lower().split() + [lm.END] for x in rows]
     n, uni = sum(map(len, tok)), collections.Counter(w for t in tok for w in t)
-    bi = collections.Counter(p for t in tok for p in zip([lm.BEGIN, *t], t, strict=False))
-    ctx, fol, cont = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
-    for (v, w), k in bi.items():
-        ctx[v] += k
-        fol[v][min(k, 3) - 1] += 1
-        cont[w] += 1
-    d, e = (lm.discounts([sum(k == j for k in c.values()) for j in (1, 2, 3, 4)]) for c in (bi, cont))
-    total = sum(cont.values())
-    rest = sum(e[min(k, 3) - 1] for k in cont.values()) / total
-
-    def p(w, v):
-        k = cont[w]
-        low = (max(k - e[min(k, 3) - 1], 0) / total if k else 0) + rest / (len(uni) + 1)
-        if not ctx[v]:
+
+    def grams(k):
+        return (tuple(([lm.BEGIN] * (k - 1) + t)[i : i + k]) for t in tok for i in range(len(t)))
+
+    counts = [collections.Counter(grams(order))]
+    while len(next(iter(counts[0]))) > 1:
+        counts.insert(0, collections.Counter(g[1:] for g in counts[0]))
+    ds = [lm.discounts([sum(k == j for k in c.values()) for j in (1, 2, 3, 4)]) for c in counts]
+    ctx, fol = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
+    for c in counts:
+        for g, k in c.items():
+            ctx[g[:-1]] += k
+            fol[g[:-1]][min(k, 3) - 1] += 1
+
+    def p(g):
+        if not g:
+            return 1 / (len(uni) + 1)
+        low, k, d = p(g[1:]), counts[len(g) - 1][g], ds[len(g) - 1]
+        if not ctx[g[:-1]]:
             return low
-        k = bi[v, w]
-        return (max(k - d[min(k, 3) - 1], 0) / ctx[v] if k else 0) + sum(a * b for a, b in zip(d, fol[v], strict=True)) / ctx[v] * low
+        return (max(k - d[min(k, 3) - 1], 0) / ctx[g[:-1]] if k else 0) + sum(a * b for a, b in zip(d, fol[g[:-1]], strict=True)) / ctx[g[:-1]] * low
 
-    model = lm.train(documents(spark))
-    probe = [*ROWS, (99, "never seen the quick words", "en", "a")]
+    model = lm.train(documents(spark, rows), order=order)
+    probe = [*rows, (99, "never seen the quick words", "en", "a"), (98, "b a unseen c d one two one two three", "en", "a")]
     got = lm.scored(documents(spark, probe).select("doc_id", "text", F.xxhash64("text").alias("h")), model).collect()
     want = collections.Counter()
     for x in probe:
         t = (x[1] or "").encode().lower().split() + [lm.END]
-        want[len(t), round(sum(math.log10((uni[w] + 1) / (n + len(uni) + 1)) for w in t), 4), round(sum(math.log10(p(w, v)) for v, w in zip([lm.BEGIN, *t], t, strict=False)), 4)] += 1
+        padded = [lm.BEGIN] * (order - 1) + t
+        want[len(t), round(sum(math.log10((uni[w] + 1) / (n + len(uni) + 1)) for w in t), 4), round(sum(math.log10(p(tuple(padded[i : i + order]))) for i in range(len(t))), 4)] += 1
     assert collections.Counter((r["n_tokens"], round(r["base_score"], 4), round(r["score"], 4)) for r in got) == want
-    assert sum(p(w, b"the") for w in uni) + rest / (len(uni) + 1) * sum(a * b for a, b in zip(d, fol[b"the"], strict=True)) / ctx[b"the"] == pytest.approx(1)
+    seen = (b"a", b"b")[: order - 1]
+    assert sum(p((*seen, w)) for w in uni) + p((*seen, b"-")) == pytest.approx(1)
 
 
 def test_lm_edges(spark):
+    assert lm.scored(documents(spark), lm.train(documents(spark, []), order=3)).count() == len(ROWS)
     none = lm.train(documents(spark, []))
     got = lm.scored(documents(spark), none).collect()
     assert len(got) == len(ROWS) and {(r["base_score"], r["n_known"]) for r in got} == {(0.0, 0)}
