@@ -110,6 +110,23 @@ def test_budgets_equal_loops(spark):
     assert got == want and base == want_base
 
 
+def test_no_hit_is_dealt_out(spark):
+    """Hits are found and reranked where the query's record is: its only exchange is that of the records."""
+    rows = [(f"S1-{i}", f"alpha{i % 7} beta{i % 5} gamma", f"{i} oak street", "x") for i in range(40)]
+    rows += [("S1-3", "alpha3 beta3 delta", "3 elm street", "x"), (None, "alpha1 beta1 gamma", "1 oak street", "x"), ("S1-99", "alpha1 beta1", "1 oak street", None)]
+    p = blocking.prepare(spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string"))
+    for found in (retrieval.reverse_retrieve(p, p), retrieval.retrieve_enhanced(p, p)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan
+        got = found.collect()
+        assert {r["qid"] for r in got} <= {f"S1-{i}" for i in range(40)} and all(r["tid"] not in (None, "S1-99") for r in got)
+        # both records of an id are queries, and targets, of their own
+        assert sum(r["qid"] == "S1-3" and r["tid"] == "S1-3" for r in got) == 4
+        own = [r for r in got if r["qid"] == "S1-3"]
+        order = sorted(own, key=lambda r: (-r["score"], r["tid"]))
+        assert [r["score"] for r in sorted(own, key=lambda r: r["rank"])] == [r["score"] for r in order] and sorted(r["rank"] for r in own) == list(range(len(own)))
+
+
 def test_trees_round_trip_and_learn(spark):
     r = np.random.default_rng(0)
     x = r.random((600, 3)).astype(np.float32)
