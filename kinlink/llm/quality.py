@@ -5,9 +5,9 @@ estimated, one over trusted documents, one over the whole corpus. The score of a
 mean log ratio of its n-grams, in millionths as whole numbers, so that sums don't depend on their
 order. A document is kept if no base rule fails it and its score reaches the threshold.
 
-The trusted side is fitted on at most ``trusted`` documents of quality 1 that aren't toxic, chosen by
-hash (a documented bound); corpus counts cover every document. Half of that sample, by hash, is counted; the threshold is
-the ``floor`` quantile of the scores of the other half, unseen by the counts, less ``margin``.
+The trusted side is fitted on all documents of quality 1 that aren't toxic, whatever their number; corpus counts cover
+every document. Half of the trusted ones, by hash, is counted; the threshold is the ``floor`` quantile of the scores of
+the other half, unseen by the counts, less ``margin``.
 
 Defined results: null and empty texts have no words, so they fail the base rule; a text without n-grams scores 0;
 with no trusted document all ratios are 0 and only the base rules decide; repeated rows are judged alike; an
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .shared import bound, stored, table, words
 
-BUCKETS, TRUSTED, FLOOR, MARGIN = 1 << 14, 20_000, 0.005, 0.05
+BUCKETS, FLOOR, MARGIN = 1 << 14, 0.005, 0.05
 MICRO = 1_000_000
 _P = "__quality_"
 
@@ -78,18 +78,19 @@ def _table_of(rows: list, buckets: int, target: float, raw: float) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
-def judged(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, bound_trusted: int = TRUSTED, floor: float = FLOOR, margin: float = MARGIN) -> DataFrame:
+def judged(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, floor: float = FLOOR, margin: float = MARGIN) -> DataFrame:
     """``docs`` with a struct ``quality``: the base counts, score, base_failed, kept.
 
-    ``trusted`` has a column ``key``. Its sample, at most ``bound_trusted`` ids, is small enough to
-    broadcast; the counts reach the driver as at most ``buckets`` rows and return as one literal."""
+    ``trusted`` has a column ``key``. The texts of its documents are joined once and kept in the shared folder;
+    the counts reach the driver as at most ``buckets`` rows and return as one literal."""
     hashed = lambda: F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
     some = trusted.select(F.col(key).alias(f"{_P}id")).filter(F.col(f"{_P}id").isNotNull()).distinct()
-    some = stored(some.orderBy(F.xxhash64(f"{_P}id"), f"{_P}id").limit(bound_trusted), "quality-trusted")
     half = F.pmod(F.xxhash64(F.lit("half"), F.col(f"{_P}id")), F.lit(2)) == 0
-    flagged = docs.select(F.col(key).alias("k"), F.col(text)).join(F.broadcast(some.filter(half)), F.col("k") == F.col(f"{_P}id"), "left")
-    grams = flagged.select(F.col(f"{_P}id").isNotNull().cast("bigint").alias("t"), F.explode(bound(hashed(), lambda h: ngrams(h, buckets))).alias("b"))
-    rows = [tuple(r) for r in grams.groupBy("b").agg(F.count("*").alias("r"), F.sum("t").alias("t")).collect()]
+    own = docs.select(F.col(key).alias("k"), F.col(text)).join(some, F.col("k") == F.col(f"{_P}id")).select(half.alias("counted"), text)
+    own = stored(own, "quality-trusted")
+    counted = lambda rows: {r["b"]: r["n"] for r in rows.select(F.explode(bound(hashed(), lambda h: ngrams(h, buckets))).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}
+    whole, good = counted(docs), counted(own.filter("counted"))
+    rows = [(b, n, good.get(b, 0)) for b, n in whole.items()]
     raw, target = sum(r[1] for r in rows), sum(r[2] for r in rows)
     ratios = _table_of(rows if target else [], buckets, target if target else 0, raw if target else 0)
 
@@ -107,7 +108,7 @@ def judged(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     one = bound(hashed(), of_hashes)
     all_counts = docs.select(*keep, one.alias(f"{_P}w"), *[c.alias(f"{_P}{k}") for k, c in counts.items()], F.col(key).alias(f"{_P}key"))
     w = F.col(f"{_P}w")
-    trusted_scores = docs.select(F.col(key).alias("k"), F.col(text)).join(F.broadcast(some.filter(~half)), F.col("k") == F.col(f"{_P}id"), "left_semi").select(bound(hashed(), of_hashes)["score"].alias("s"))
+    trusted_scores = own.filter(~F.col("counted")).select(bound(hashed(), of_hashes)["score"].alias("s"))
     # a histogram in thousandths: the quantile is exact to that step and the same in every run
     steps = sorted((r[0], r[1]) for r in trusted_scores.groupBy(F.floor(F.col("s") * 1000).alias("s")).count().collect())
     threshold, seen = -1e9, 0

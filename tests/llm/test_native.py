@@ -59,6 +59,15 @@ def test_quality_parts_clean_from_junk(spark):
     assert all(x["kept"] == (x["doc_id"] % 4 != 0) for x in got)
 
 
+def test_every_trusted_document_is_learned(spark, monkeypatch):
+    kept, real = [], quality.stored
+    monkeypatch.setattr(quality, "stored", lambda df, name: kept.append(real(df, name)) or kept[-1])
+    n = 20_050
+    docs = spark.range(n + 5).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    assert quality.judged(docs, spark.range(n).withColumnRenamed("id", "doc_id")).count() == n + 5
+    assert [x.count() for x in kept] == [n]
+
+
 def test_quality_edges(spark):
     none = spark.createDataFrame([], "doc_id bigint")
     assert quality.judged(documents(spark, []), none).count() == 0
