@@ -1,14 +1,14 @@
 """Language identification by prediction with partial matching (PPM).
 
-For each language a variable-order context tree over bytes (orders 0 to 3) is counted on a bounded
-sample and frozen. The code length of a byte is that of the longest context that has seen it, plus
+For each language a variable-order context tree over bytes (orders 0 to 3) is counted on all of its
+labelled texts and frozen. The code length of a byte is that of the longest context that has seen it, plus
 the escapes from the longer ones (method C: escape d / (n + d), d distinct successors, n in all);
 below order 0 stands 1/256. A text's language is the one that codes all of its bytes in the fewest
 bits. Lengths are whole 1/1024 bits, so sums are exact.
 
-The sample: per language an equal share of ``train_bytes``, chosen by hash of key and text in pieces of
-``PIECE`` bytes, in expectation, and the first ``LEAST`` texts by hash, so that every labelled language is
-learned and no single text fills the share (documented bounds). Every text is scored whole.
+All labelled text is counted, whatever its size; trees grow with the distinct runs of four bytes alone. Only a caller
+that gives ``train_bytes`` gets a sample: per language an equal share of it, chosen by hash of key and text in pieces of
+``PIECE`` bytes, in expectation, and the first ``LEAST`` texts by hash. Every text is scored whole.
 
 Defined results: null texts, empty texts and texts without a letter are ``und`` with score 0, and so is
 everything if nothing could be learned; equal code lengths go to the first language by code point;
@@ -29,8 +29,7 @@ from pyspark.sql import types as T
 from .hashed import chunks
 from .shared import table
 
-TRAIN_BYTES = 4_000_000
-#: Texts are drawn in pieces of so many bytes; every labelled language has at least ``LEAST`` of them, or all its texts.
+#: Of a sample: texts are drawn in pieces of so many bytes; every labelled language has at least ``LEAST`` of them, or all its texts.
 PIECE, LEAST = 1 << 14, 32
 UNIT = 1024
 #: Lower case for A-Z, a space for every other ASCII byte; bytes of other characters stay.
@@ -49,15 +48,28 @@ def grams(folded: bytes) -> np.ndarray:
     return (x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:]
 
 
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts per gram."""
+    g, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return g, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(g)).astype(np.int64)
+
+
 def _count(batches: Iterator) -> Iterator:
+    """Counts of a whole task per language: what is held and sent follows the distinct grams, not the text."""
+    held: dict[str, list] = {}
     for rows in chunks(batches, ["lang", "text"]):
         by: dict[str, list] = {}
         for lang, text in zip(rows["lang"], rows["text"], strict=True):
             if text:
                 by.setdefault(lang, []).append(grams(text.translate(FOLD)))
         for lang, parts in by.items():
-            g, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g)), "gram": pa.array(g.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+            own = held.setdefault(lang, [])
+            own.append(np.unique(np.concatenate(parts), return_counts=True))
+            if len(own) == 8:
+                held[lang] = [_merged(own)]
+    for lang, parts in held.items():
+        g, n = _merged(parts)
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g), pa.string()), "gram": pa.array(g.astype(np.int64)), "n": pa.array(n)})
 
 
 class Trees:
@@ -132,14 +144,28 @@ class Trees:
         return self.langs[best], float(1 / np.exp2(-np.minimum(bits, 1000)).sum())
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_bytes: int = TRAIN_BYTES) -> Trees:
-    """Count the trees of all languages in ``docs`` (rows with null language or text don't count)."""
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_bytes: int | None = None) -> Trees:
+    """Count the trees of all languages in ``docs`` (rows with null language or text don't count) on all texts, or
+    on about ``train_bytes`` of them."""
     known = docs.select(F.xxhash64(F.lit("language"), F.col(key).cast("string"), text).alias("h"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"))
     known = known.filter("lang IS NOT NULL AND octet_length(text) > 0")
+    chosen = known if train_bytes is None else _drawn(known, train_bytes)
+    counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram bigint, n bigint")
+    rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    frame = rows.to_pandas().sort_values(["lang", "gram"])
+    langs = sorted(frame["lang"].unique())
+    if not langs:
+        return _nothing()
+    parts = [frame[frame["lang"] == k] for k in langs]
+    return Trees(langs, [p["gram"].to_numpy() for p in parts], [p["n"].to_numpy(float) for p in parts])
+
+
+def _drawn(known: DataFrame, train_bytes: int) -> DataFrame:
+    """A sample of about ``train_bytes`` of the texts, in pieces."""
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.octet_length("text").cast("bigint")).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return _nothing()
+        return known
     rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, train_bytes / len(langs) / sizes[k]))])
     # pieces by place: only the drawn ones are cut out of their text
     places = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / PIECE).cast("int"))
@@ -150,15 +176,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     few = Window.partitionBy("lang").orderBy("h")
     first = known.withColumn("n", F.row_number().over(few)).filter(F.col("n") <= LEAST).select("lang", "text", "h", F.lit(0).alias("i"))
     piece = F.substring("text", F.col("i") * PIECE + 1, F.lit(PIECE))
-    chosen = by_rate.unionByName(first).select("lang", "h", "i", piece.alias("text")).groupBy("lang", "h", "i").agg(F.min("text").alias("text"))
-    counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram bigint, n bigint")
-    rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    frame = rows.to_pandas().sort_values(["lang", "gram"])
-    langs = sorted(frame["lang"].unique())
-    if not langs:
-        return _nothing()
-    parts = [frame[frame["lang"] == k] for k in langs]
-    return Trees(langs, [p["gram"].to_numpy() for p in parts], [p["n"].to_numpy(float) for p in parts])
+    return by_rate.unionByName(first).select("lang", "h", "i", piece.alias("text")).groupBy("lang", "h", "i").agg(F.min("text").alias("text"))
 
 
 def _nothing() -> Trees:

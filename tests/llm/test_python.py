@@ -111,6 +111,12 @@ def test_every_labelled_language_is_learned(spark):
     assert got == {1: "de", 2: "en"}
 
 
+def test_all_labelled_text_is_counted(spark):
+    trees = language.train(documents(spark, [(1, "a" * 6_000_000, "en", "a"), (2, "b" * 10, "en", "a")]))
+    cost = dict(zip(trees.keys[0].tolist(), trees.cost[0][:, 0].tolist(), strict=True))
+    assert cost[ord("b")] == pytest.approx(math.log2((6_000_010 + 2) / 10), abs=1e-12)
+
+
 def test_discounts_are_above_zero():
     assert lm.discounts([10, 1, 9, 50])[1:] == (0.5, 0.5) and all(0 < d <= k for d, k in zip(lm.discounts([900, 300, 100, 60]), (1, 2, 3), strict=True))
 
