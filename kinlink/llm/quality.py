@@ -78,18 +78,24 @@ def _table_of(rows: list, buckets: int, target: float, raw: float) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
+def trusted_texts(docs: DataFrame, ids: DataFrame, part: int, key: str, text: str) -> DataFrame:
+    """Texts of one half (0 or 1, by hash) of the documents named by ``ids``. A text is dealt out once, and by the
+    same plan whatever the number of ids: no table of ids is broadcast."""
+    half = lambda c: F.pmod(F.xxhash64(F.lit("half"), c), F.lit(2)) == part
+    name = f"{_P}id"
+    texts = docs.select(F.col(key).try_cast(ids.schema[name].dataType).alias("k"), F.col(text)).filter(half(F.col("k")))
+    return texts.join(ids.filter(half(F.col(name))).hint("merge"), F.col("k") == F.col(name)).select(text)
+
+
 def judged(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, floor: float = FLOOR, margin: float = MARGIN) -> DataFrame:
     """``docs`` with a struct ``quality``: the base counts, score, base_failed, kept.
 
-    ``trusted`` has a column ``key``. The texts of its documents are joined once and kept in the shared folder;
-    the counts reach the driver as at most ``buckets`` rows and return as one literal."""
+    ``trusted`` has a column ``key``; its ids are kept in the shared folder and each half is joined with its texts
+    once. The counts reach the driver as at most ``buckets`` rows and return as one literal."""
     hashed = lambda: F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
-    some = trusted.select(F.col(key).alias(f"{_P}id")).filter(F.col(f"{_P}id").isNotNull()).distinct()
-    half = F.pmod(F.xxhash64(F.lit("half"), F.col(f"{_P}id")), F.lit(2)) == 0
-    own = docs.select(F.col(key).alias("k"), F.col(text)).join(some, F.col("k") == F.col(f"{_P}id")).select(half.alias("counted"), text)
-    own = stored(own, "quality-trusted")
+    some = stored(trusted.select(F.col(key).alias(f"{_P}id")).filter(F.col(f"{_P}id").isNotNull()).distinct(), "quality-trusted")
     counted = lambda rows: {r["b"]: r["n"] for r in rows.select(F.explode(bound(hashed(), lambda h: ngrams(h, buckets))).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}
-    whole, good = counted(docs), counted(own.filter("counted"))
+    whole, good = counted(docs), counted(trusted_texts(docs, some, 0, key, text))
     rows = [(b, n, good.get(b, 0)) for b, n in whole.items()]
     raw, target = sum(r[1] for r in rows), sum(r[2] for r in rows)
     ratios = _table_of(rows if target else [], buckets, target if target else 0, raw if target else 0)
@@ -108,7 +114,7 @@ def judged(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     one = bound(hashed(), of_hashes)
     all_counts = docs.select(*keep, one.alias(f"{_P}w"), *[c.alias(f"{_P}{k}") for k, c in counts.items()], F.col(key).alias(f"{_P}key"))
     w = F.col(f"{_P}w")
-    trusted_scores = own.filter(~F.col("counted")).select(bound(hashed(), of_hashes)["score"].alias("s"))
+    trusted_scores = trusted_texts(docs, some, 1, key, text).select(bound(hashed(), of_hashes)["score"].alias("s"))
     # a histogram in thousandths: the quantile is exact to that step and the same in every run
     steps = sorted((r[0], r[1]) for r in trusted_scores.groupBy(F.floor(F.col("s") * 1000).alias("s")).count().collect())
     threshold, seen = -1e9, 0

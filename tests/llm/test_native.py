@@ -68,6 +68,17 @@ def test_every_trusted_document_is_learned(spark, monkeypatch):
     assert [x.count() for x in kept] == [n]
 
 
+def test_trusted_texts_are_joined_by_one_plan(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in [None, *range(40), 7]], "doc_id bigint, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 50, 2)] + [(7,)], "__quality_id int")
+    parts = [quality.trusted_texts(docs, ids, k, "doc_id", "text") for k in (0, 1)]
+    for x in parts:  # the tables are tiny, yet nothing is broadcast
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    found = [[r["text"] for r in x.collect()] for x in parts]
+    assert all(found) and sorted(found[0] + found[1]) == sorted([*[f"t{i}" for i in range(0, 40, 2)], "t7", "t7"])
+
+
 def test_quality_edges(spark):
     none = spark.createDataFrame([], "doc_id bigint")
     assert quality.judged(documents(spark, []), none).count() == 0
