@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinlink.operators import blocking, context, decide, evaluate, features, models, retrieval, sampling, validate
+from kinlink.operators import blocking, compared, context, decide, evaluate, features, models, retrieval, sampling, validate
 from kinlink.plans import baseline, training
 from kinlink.sources import tsv
 
@@ -127,6 +127,26 @@ def test_no_hit_is_dealt_out(spark):
         assert [r["score"] for r in sorted(own, key=lambda r: r["rank"])] == [r["score"] for r in order] and sorted(r["rank"] for r in own) == list(range(len(own)))
 
 
+def test_pairs_are_compared_where_they_are_found(spark):
+    """The baseline's pairs with legacy features and labels, without a join of pairs: equal to the plan that joins them."""
+    r = random.Random(5)
+    word = lambda: r.choice(["tata", "steel", "mill", "oak", "x9", "123", "0456", "gmbh", "टाटा", "é"])
+    rows = [(f"S{1 + i % 3}-{i // 3}", " ".join(word() for _ in range(r.randint(0, 4))), " ".join(word() for _ in range(r.randint(0, 5))), r.choice("ab")) for i in range(90)]
+    rows += [("S1-3", "tata steel mill", "12 oak", "b"), ("S2-4", "tata steel", "12 oak", "a"), (None, "tata steel", "12 oak", "a"), ("S1-77", "tata steel", "12 oak", None), ("S2-77", "", "", "a"), ("S1-5", "tata steel", "", "a")]
+    df = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string")
+    s1, t = df.filter("entity_id LIKE 'S1%' OR entity_id IS NULL"), df.filter("entity_id NOT LIKE 'S1%' OR entity_id IS NULL")
+    truth = spark.createDataFrame([(f"S1-{i}", f"S2-{i}") for i in range(20)] + [("S1-3", "S3-3")], "qid string, tid string")
+    caps = {"cap": 25, "per_family": 3, "budget": 60, "k": 9}
+    got = compared.legacy_pairs(s1, t, truth, **caps)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan  # links are joined to queries
+    q, p = blocking.prepare(s1), blocking.prepare(t)
+    both = features.pairs(retrieval.retrieve_base(q, p, **caps), q, p)
+    want = baseline.labelled(both.select("qid", "tid", "rank", *[c.alias(n) for n, c in features.legacy().items()]), truth).select(got.columns)
+    assert got.filter("label = 1").count() and got.filter("name_contained = 1 AND name_equal = 0").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_trees_round_trip_and_learn(spark):
     r = np.random.default_rng(0)
     x = r.random((600, 3)).astype(np.float32)
