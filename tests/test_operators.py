@@ -145,6 +145,11 @@ def test_pairs_are_compared_where_they_are_found(spark):
     want = baseline.labelled(both.select("qid", "tid", "rank", *[c.alias(n) for n, c in features.legacy().items()]), truth).select(got.columns)
     assert got.filter("label = 1").count() and got.filter("name_contained = 1 AND name_equal = 0").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    whole = compared.legacy_pairs(s1, t, truth, places=6, **caps)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, want.select("qid", "tid", "rank", "label", *[F.round(n, 6) for n in features.LEGACY]).collect()))
+    ties = [0.0000005, 0.1234565, 0.4999995, 1 / 3, 2 / 3, 1.0, 0.0000004999]
+    again = [x[0] for x in spark.createDataFrame([(x,) for x in ties], "x double").select(F.round("x", 6)).collect()]
+    assert compared.rounded(np.array(ties)).tolist() == again
 
 
 def test_trees_round_trip_and_learn(spark):
@@ -159,6 +164,9 @@ def test_trees_round_trip_and_learn(spark):
     assert {n for n, k in models.importance(model, ["a", "b", "c"])[:2] if k} == {"a", "b"}
     out = models.tree_score(df, model, ["a", "b", "c"]).toPandas()
     assert np.allclose(out["logit"], model.score(out[["a", "b", "c"]].to_numpy(np.float32)), atol=1e-12)
+    few = models.Trees(3, 0.0, 0.5, -1.25, model.trees[:3])
+    both = models.tree_score(df, few, ["a", "b", "c"]).withColumn("again", models.tree_column(few, ["a", "b", "c"])).collect()
+    assert all(r["again"] == r["logit"] for r in both)
 
 
 def test_files(spark, tmp_path):
