@@ -76,3 +76,29 @@ def test_enhanced_pairs_are_described_where_they_are_found(spark):
     same(got, want)
     names = got.columns[4:]
     same(vectors.enhanced_pairs(s1, t, places=6, **caps), want.select("qid", "tid", "score", "rank", *[F.round(n, 6) for n in names]))
+
+
+def test_rivals_are_described_where_they_are_found(spark):
+    """Competing records with the features of the pair (competing record, target), without a join of pairs."""
+    s1, t = records(spark)
+    q, p = blocking.prepare(s1), blocking.prepare(t)
+    caps = {"cap": 60, "per_type": 4, "budget": 150, "first": 20, "k": 9}
+    got = vectors.rival_pairs(p, q, **caps).drop("score", "rank")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInPandas" not in plan
+    rivals = retrieval.reverse_retrieve(p, q, **caps).select(F.col("tid").alias("qid"), F.col("qid").alias("tid"))
+    none = rivals.withColumns({c: F.lit(0).cast("bigint") for c in ("score", "rank", "frequency")})
+    want = features.all_features(features.pairs(none, q, p), ["qid", "tid"])
+    same(got, want.select(F.col("tid").alias("qid"), F.col("qid").alias("tid"), *got.columns[2:]))
+
+
+def test_small_models_score_as_an_expression(spark):
+    """The same scores, bit by bit, and no row through Python; a large model still goes through batches."""
+    from kinlink.operators import models
+
+    df = spark.range(200).select((F.col("id") / 7).alias("a"), (F.sin("id") / 3).alias("b"))
+    small = models.Trees(2, 0.0, 0.3, -0.7, [([0, 1], [9.3, 0.1], [0.1, -0.2, 0.7, 1.1])] * 3)
+    large = models.Trees(2, 0.0, 0.3, -0.7, small.trees * 60)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan(models.scored(df, small, ["a", "b"])) and "MapInPandas" in plan(models.scored(df, large, ["a", "b"]))
+    assert models.scored(df, small, ["a", "b"]).collect() == models.tree_score(df, small, ["a", "b"]).collect()
